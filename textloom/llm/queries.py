@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import mix_sources, sharding, simhash
+from textloom.llm import importance, mix_sources, sharding, simhash, toxicity
 from textloom.llm._common import documents, text_or_empty
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return importance.resample(documents(spark, sf_dir), labels)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,10 +29,18 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rated = toxicity.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return rated.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
     "op4_mix": op4_mix,
     "op8_shards": op8_shards,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
