@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._common import free_name, recovery_point
+from textloom.llm._common import free_name, recovery_point, shuffle_width
 from textloom.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time.
@@ -76,7 +76,8 @@ def deletion_variants(prints: DataFrame, distance: int) -> DataFrame:
     segments = distance // 2 + 1
     edges = [64 * i // segments for i in range(segments + 1)]
     rows = ", ".join(f"struct({at}L as at, {lo} as lo, {(1 << (hi - lo)) - 1 if hi - lo < 64 else -1}L as mask)" for lo, hi in zip(edges, edges[1:], strict=False) for at in range(lo, hi))
-    wild = prints.select("fp", F.explode(F.expr(f"array({rows})")).alias("w"))
+    wide = prints.repartition(4 * shuffle_width(prints.sparkSession), "fp")  # the table is small, what it becomes isn't
+    wild = wide.select("fp", F.explode(F.expr(f"array({rows})")).alias("w"))
     # The blanked segment and the bit's number: together unique for distance 2 and more, else hashed apart.
     blanked = "(shiftrightunsigned(fp, w.lo) & w.mask & ~shiftleft(1L, cast(w.at - w.lo as int)))"
     return wild.select(F.expr(f"shiftleft({blanked}, 6) + w.at" if segments > 1 else f"xxhash64({blanked}, w.at)").alias("key"), "fp")
@@ -93,7 +94,7 @@ def _ball_points(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fp", F.explode(F.lit(masks)).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
 
 
-def links(prints: DataFrame, distance: int = 2, crowd: int = 32) -> DataFrame:
+def links(prints: DataFrame, distance: int = 2, crowd: int = 8) -> DataFrame:
     """Distinct ``(fp)`` -> ``(u, v)``: pairs that connect what lies within ``distance`` bits.
 
     Every returned pair is within the distance. Outside crowds all such pairs
@@ -107,7 +108,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = 32) -> DataFrame:
     twos = shared.where("n = 2").select("u", "v").where(near)
     members = recovery_point(keyed.join(shared.where("n > 2").select("key", "n"), "key"))
     few = members.where(F.col("n") <= crowd).groupBy("key").agg(F.collect_list("fp").alias("all"))
-    few = few.select("all", F.explode("all").alias("u")).select("u", F.explode("all").alias("v")).where("u < v").where(near)
+    few = few.select("all", F.explode("all").alias("u")).select("u", F.explode(F.expr("filter(all, x -> x > u)")).alias("v")).where(near)
     packed = members.where(F.col("n") > crowd).select("fp").distinct()
     inner = _ball_points(packed, distance // 2).groupBy("point").agg(F.min("fp").alias("v"))
     outer = _ball_points(packed, distance - distance // 2)
@@ -115,7 +116,7 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = 32) -> DataFrame:
     return twos.unionByName(few).unionByName(crowded)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, crowd: int = 32, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, crowd: int = 8, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, fp, component_id)``.
 
     ``component_id`` is the smallest id reachable over links, its own included.
