@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import chat, importance, mix_sources, secrets, sharding, simhash, toxicity
+from textloom.llm import chat, importance, licenses, mix_sources, secrets, sharding, simhash, toxicity
 from textloom.llm._common import documents, text_or_empty
 
 
@@ -76,6 +76,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.transform("places", lambda p: p["label"])
+    written = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("bigint").alias("n_base"),
+        F.array_min("places.at").cast("bigint").alias("first_word"),
+        F.array_max("places.at").cast("bigint").alias("last_word"),
+        written(base).alias("base_labels"),
+        written(F.concat(base, F.transform("matches", lambda m: m["label"]))).alias("labels"),
+        F.col("best").alias("score"),
+    )
+
+
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty("text")
     docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -95,6 +111,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mix": op4_mix,
     "op5_secrets": op5_secrets,
+    "op7_licenses": op7_licenses,
     "op8_shards": op8_shards,
     "op10_toxicity": op10_toxicity,
 }
