@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import chat, importance, licenses, mix_sources, secrets, sharding, simhash, toxicity
+from textloom.llm import chat, importance, licenses, mix_sources, secrets, sharding, simhash, syncmers, toxicity
 from textloom.llm._common import documents, text_or_empty
 
 
@@ -76,6 +76,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = syncmers.with_edited(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.written("prints").alias("fingerprint"),
+        syncmers.written("edited_prints").alias("edited_fingerprint"),
+        syncmers.likeness("prints", "edited_prints").alias("near_edited"),
+        syncmers.likeness("prints", "next_prints").alias("near_next"),
+    )
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.transform("places", lambda p: p["label"])
@@ -111,6 +124,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_mix": op4_mix,
     "op5_secrets": op5_secrets,
+    "op6_syncmers": op6_syncmers,
     "op7_licenses": op7_licenses,
     "op8_shards": op8_shards,
     "op10_toxicity": op10_toxicity,
