@@ -11,16 +11,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 CHUNK_BYTES = 1 << 20
 
 
-def recovery_point(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the folder that all executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where none is
-    set (tests on one machine) a temporary one is made. Use it on narrow
-    tables: the rows are written once and survive lost executors.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``; where none is set (tests on one machine), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def recovery_point(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` in the shared folder. Use it on narrow tables: the rows are written once and survive lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import chat, importance, licenses, mix_sources, secrets, sharding, simhash, syncmers, toxicity
+from textloom.llm import chat, decontaminate, importance, licenses, mix_sources, secrets, sharding, simhash, syncmers, toxicity
 from textloom.llm._common import documents, text_or_empty
 
 
@@ -112,6 +112,10 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rated = toxicity.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -127,6 +131,7 @@ QUERIES = {
     "op6_syncmers": op6_syncmers,
     "op7_licenses": op7_licenses,
     "op8_shards": op8_shards,
+    "op9_leaks": op9_leaks,
     "op10_toxicity": op10_toxicity,
 }
 

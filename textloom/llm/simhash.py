@@ -139,4 +139,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay. Of rows that repeat a surviving id, all stay.
     """
     drop = near_duplicates(docs, id_col, text_col, **options).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
