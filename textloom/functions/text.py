@@ -71,16 +71,19 @@ def needle(text: Column, size: int = 60) -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """All matches (none empty) as an array of (start, end, found)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, found: string>>").alias("out"))
+    none = F.array().cast("array<struct<start: int, end: int, found: string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["part"])
         end = start + F.length(x["found"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
 
-    return F.aggregate(F.arrays_zip(found.alias("found"), parts.alias("part")), zero, step, lambda acc: acc["out"])
+    def placed(found: Column) -> Column:
+        parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.arrays_zip(found.alias("found"), parts.alias("part")), zero, step, lambda acc: acc["out"]))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def first_of(items: Column, f) -> Column:
