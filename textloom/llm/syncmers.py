@@ -99,17 +99,17 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of the last is the first; a single document is its own next. Null texts are empty. Ids that occur with several texts are ordered by the texts' hash; rows equal in
     both count as one document here and each get its result. Null ids come first.
 
-    Texts are dealt by id once, with their fingerprints; a quarter of them moves again, to the document before.
+    Texts are dealt by id once; a quarter of them, and the fingerprints, move again to the document before. Fingerprints are computed where they are
+    needed rather than moved with the texts.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    keys, n = in_order(src.select("id", "tie", F.length("text").alias("n")).distinct(), ["id", "tie"], "g")
-    taken = keys.select(F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.expr(f"n div {share}").cast("int").alias("most"), F.pmod(F.col("g") + 1, F.lit(max(1, n))).alias("g"))
-    gives = keys.select("id", "tie", "g").join(taken, "g").drop("g")
-    full = anchors("text", src, "prints").select("id", "tie", "text", "prints").repartition(max(8, 2 * shuffle_width(docs.sparkSession)), "id", "tie")
-    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
-    given = full.alias("a").join(gives.alias("b"), same("a", "b")).select(F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.expr("left(a.text, b.most)").alias("piece"), F.col("a.prints").alias("next_prints"))
-    given = given.groupBy("id", "tie").agg(F.first("piece").alias("piece"), F.first("next_prints").alias("next_prints"))
-    met = full.alias("a").join(given.alias("b"), same("a", "b")).select("a.id", "a.text", "a.prints", "b.piece", "b.next_prints")
+    src = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("kid", F.xxhash64("id")).withColumn("tie", F.xxhash64("text"))
+    keys, n = in_order(src.select("id", "kid", "tie", F.length("text").alias("n")).distinct(), ["id", "tie"], "g")
+    taken = keys.select("id", F.col("kid").alias("to_kid"), F.col("tie").alias("to_tie"), F.expr(f"n div {share}").cast("int").alias("most"), F.pmod(F.col("g") + 1, F.lit(max(1, n))).alias("g"))
+    gives = keys.select("kid", "tie", "g").join(taken, "g").drop("g")
+    full = src.select("kid", "tie", "text")  # the same columns on both sides, so that one shuffle serves both joins
+    given = full.join(gives, ["kid", "tie"]).select("id", F.col("to_kid").alias("kid"), F.col("to_tie").alias("tie"), F.left("text", F.col("most")).alias("piece"), "text")
+    given = anchors("text", given, "next_prints").groupBy("kid", "tie").agg(F.first("id").alias("id"), F.first("piece").alias("piece"), F.first("next_prints").alias("next_prints"))
+    met = full.join(given, ["kid", "tie"]).select("id", "text", "piece", "next_prints")
     size = F.length("text")
     done = met.withColumn("n_chars", size.cast("bigint")).withColumn("edited", F.concat(F.left("text", (size - F.expr(f"n_chars div {share}")).cast("int")), F.col("piece"))).drop("piece")
-    return anchors("edited", done, "edited_prints").withColumnRenamed("id", id_col)
+    return anchors("edited", anchors("text", done, "prints"), "edited_prints").withColumnRenamed("id", id_col)
