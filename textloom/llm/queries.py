@@ -135,4 +135,37 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL}
+
+def _op5_sql() -> str:
+    """Matches of each rule, placed by the lengths of what lies between them."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    found = " union all ".join(
+        f"""select doc_id, {rank} as rank, '{r.kind}' as kind, {str(r.base).lower()} as base, unnest(regexp_extract_all(text, {quoted(r.pattern)})) as m,
+        unnest(string_split_regex(text, {quoted(r.pattern)})[:-2]) as before, unnest(range(len(regexp_extract_all(text, {quoted(r.pattern)})))) as i,
+        {f"unnest(regexp_extract_all(text, {quoted(r.pattern)}, {r.group}))" if r.group else "null"} as part, {r.least} as least from d where regexp_matches(text, {quoted(r.pattern)})"""
+        for rank, r in enumerate(secrets.RULES)
+    )
+    return f"""with d as (select doc_id, coalesce(text, '') as text from documents), found as ({found}),
+    placed as (select *, sum(length(before) + length(m)) over (partition by doc_id, rank order by i) as stop from found),
+    spans as (select doc_id, rank, kind, base, stop - length(m) as start, kind || ':' || (stop - length(m)) || ':' || stop as said from placed where length(coalesce(part, m)) >= least)
+    select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+    sha256(coalesce(string_agg(said, ',' order by start, rank) filter (base), '')) as base_sha256, coalesce(string_agg(said, ',' order by start, rank), '') as spans
+    from d left join spans using (doc_id) group by d.doc_id"""
+
+
+def _op9_sql() -> str:
+    """Spaced seeds as joined words, and all windows around each hit compared word by word."""
+    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+    seeds = lambda t, key: " union all ".join(
+        f"select {key}, {n} as mask, pos, concat_ws(' ', {', '.join(f'w[pos + {o + 1}]' for o, b in enumerate(m) if b == '1')}) as seed from (select {key}, w, unnest(range(len(w) - {len(m) - 1})) as pos from {t})" for n, m in enumerate(decontaminate.MASKS)
+    )
+    return f"""with dw as (select doc_id, {words} as w from documents), iw as (select distinct item_id, w from (select item_id, {words} as w from benchmark) where len(w) >= 8),
+    hits as (select d.doc_id, i.item_id, d.pos as pos, i.pos as item_at from ({seeds('dw', 'doc_id')}) d join ({seeds('iw', 'item_id')}) i using (mask, seed)),
+    sized as (select hits.*, dw.w as w, iw.w as v, least({decontaminate.WINDOW}, len(iw.w)) as n from hits join dw using (doc_id) join iw using (item_id)),
+    starts as (select *, unnest(range(greatest(0, least(item_at, len(v) - n) - n + 1), least(item_at, len(v) - n) + 1)) as s from sized),
+    rated as (select *, (select count_if(pos - item_at + j >= 0 and w[pos - item_at + j + 1] = v[j + 1]) from (select unnest(range(s, s + n)) as j)) as equal from starts),
+    best as (select doc_id, item_id, n, pos - item_at + s as first, equal from rated qualify row_number() over (partition by doc_id, item_id, pos, item_at order by equal desc, s desc) = 1)
+    select doc_id, item_id, cast(greatest(0, min(first)) as int) as first_word, cast(max(first + n - 1) as int) as last_word, max(equal / n) as equal_share from best where equal >= {decontaminate.SHARE} * n group by doc_id, item_id"""
+
+
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": _op9_sql()}
