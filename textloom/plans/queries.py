@@ -12,16 +12,35 @@ CUES = ["and", "able", "tion", "ther", "theand", "idiot", "worthless", "clown"]
 QUERIES, ORACLES = {}, {}
 
 
-def query(oracle: str | None = None):
+def query(oracle: str):
+    """Registers a query with the SQL that says the same."""
+
     def register(f):
+        casts = ", ".join(f'cast("{c}" as {kind}) as "{c}"' for kind, columns in CASTS.get(f.__name__, {}).items() for c in columns)
         QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
+        ORACLES[f.__name__] = f"select * replace ({casts}) from ({oracle})" if casts else oracle
         return f
 
     return register
 
 
+#: DuckDB counts conditions in 128 bits and numbers rows in 64; these columns are cast to the query's types.
+CASTS = {
+    "rule_accuracy": {"bigint": ["right"]},
+    "rule_failures": {"int": ["place"]},
+    "sheet_accuracy": {"bigint": ["perfect", "eighty"]},
+    "accuracy_by_group": {"bigint": ["right"]},
+    "majority_floor": {"bigint": ["yes", "no", "total", "confirmations"]},
+    "floor_summary": {"bigint": ["skewed", "balanced"]},
+    "cue_terms_top40": {"int": ["place"]},
+    "threshold_sweep": {"int": ["step"], "bigint": ["true_pos", "true_neg"]},
+    "confusion_metrics": {"bigint": ["n", "positives"]},
+    "detector_summary": {"bigint": ["above_55"]},
+    "bucket_counts": {"bigint": ["n", "alone"]},
+    "sheet_footer": {"bigint": ["closed", "to_review", "pending"]},
+}
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -123,7 +142,7 @@ def expiration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {FACTS_SQL} select k, case when lawful then place end as law, case when lawful then case when place = 'Delaware' then 'Delaware' else 'Delaware' end else 'Delaware' end as naive from facts"""
+    f"""with {FACTS_SQL} select k, case when lawful then place end as law, 'Delaware' as naive from facts"""
 )
 def governing_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule over located fragments; the naive rule takes the seller's state."""
