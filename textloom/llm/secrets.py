@@ -206,7 +206,7 @@ def ask(lists: DataFrame, query: object, id_col: str = "doc_id") -> DataFrame |
     return out
 
 
-SPANS = "array<struct<start: bigint, end: bigint, rank: int, kind: string>>"
+SPANS = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
 
 
 def match_spans(text: Column, rule: Rule, rank: int) -> Column:
@@ -219,7 +219,7 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
         start = acc["at"] + F.length(x["b"])
         end = start + F.length(x["m"])
         value = x["m"] if rule.group == 0 else F.regexp_extract(x["m"], rule.pattern, rule.group)
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
         more = F.when(F.length(value) >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), more.alias("out"))
 
@@ -228,7 +228,7 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
-    """``docs`` with the spans of all rules appended: an array of (start, end, rank, kind) by start, then rank of the rule.
+    """``docs`` with the spans of all rules appended: an array of (start, rank, end, kind) by start, then rank of the rule.
 
     Places are code points, ends exclusive. Null and empty texts have no spans; rows are independent of each other. ``name`` replaces a column of that name.
     """

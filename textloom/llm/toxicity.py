@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.llm._common import chunks, free_name
 
 #: Bounds of the fit.
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_500, 4_000, 200_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_500, 4_000, 20_000
 #: Window and gain floor in bytes; ordinary words in both dictionaries; significance and ratio that a segment needs.
 WINDOW, FLOOR, BASE_WORDS, Z, RATIO, MAX_SEGMENTS = 48, 1, 300, 4.5, 10.0, 400
 OTHER = re.compile(rb"[^a-z\x80-\xff]+")
@@ -200,7 +200,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         if not ids:
             return None
         picked = spark.createDataFrame([tuple(r) for r in ids], f"`{id_col}` {labels.schema[id_col].dataType.simpleString()}")
-        rows = docs.select(id_col, F.left(text_col, F.lit(MAX_CHARS)).alias("text")).join(F.broadcast(picked), id_col, "left_semi").where("text is not null").orderBy(order, id_col, "text").limit(2 * most)
+        rows = docs.select(id_col, F.left(text_col, F.lit(MAX_CHARS)).alias("text")).join(F.broadcast(picked), id_col, "left_semi").where("text is not null").orderBy(order, id_col, "text").limit(most)
         texts.append([r["text"] for r in rows.collect()])
     return fit(*texts)
 
