@@ -87,5 +87,5 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def first_of(items: Column, f) -> Column:
-    """The first value other than null that f gives over an array."""
-    return F.get(F.filter(F.transform(items, f), lambda v: v.isNotNull()), F.lit(0))
+    """The first text other than null that f gives over an array; f isn't asked after it."""
+    return F.aggregate(items, F.lit(None).cast("string"), lambda found, x: F.when(found.isNotNull(), found).otherwise(f(x)))
