@@ -107,3 +107,11 @@ def test_page(spark):
         except LookupError:
             pass
     assert [tuple(r) for r in page.pages(docs, ["a"]).collect()] == [("a", "x", 1)]
+
+
+def test_scope_filter_and_display_order(spark):
+    rows = spark.createDataFrame([("n", "Cap On Liability", "absent"), ("n", "Insurance", "found"), ("n", "Other", "found")], "name string, category string, state string")
+    inside = spark.createDataFrame([("Cap on Liability", True), ("INSURANCE", True), ("Other", False)], "category string, in_scope boolean")
+    kept = sheet.scope_filter(rows, inside)
+    assert kept.columns == rows.columns
+    assert [r["category"] for r in sheet.display_order(kept).collect()] == ["Insurance", "Cap On Liability"]
