@@ -108,6 +108,17 @@ def test_toxicity_without_a_class(spark, make_docs):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark, make_docs):
+    slurs, rows = ["gnarlwort", "blightface", "mudsnout"], []
+    for i in range(240):
+        words = good(3500)
+        rows.append((i, words + " " + " ".join(slurs * 20) if i % 3 == 0 else words))
+    assert all(r[1].find(slurs[0]) in (-1, *range(20_001, len(r[1]))) for r in rows)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id bigint, toxic int")
+    model = toxicity.fit_labelled(make_docs(rows), labels, "doc_id", "text", "toxic", 5)
+    assert all(s.encode() in model.toxic and s.encode() not in model.ordinary for s in slurs)
+
+
 def test_windows_cover_the_text():
     for text in ("", "one", "a b c " * 50, "x" * 300_000, "word " * 300_000):
         found = list(toxicity.windows(text))

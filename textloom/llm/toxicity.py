@@ -11,14 +11,13 @@ on labelled documents that the dictionaries haven't seen.
 Generic dictionary training picks segments that are frequent, and toxic documents are mostly ordinary text: dictionaries trained that way
 hardly differ (held-out ranking 0.56 to 0.68). So the toxic dictionary's content is chosen by contrast.
 
-The fit uses a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` by seeded hash, ``MAX_CHARS`` a text); every
-text is scored whole.
+The fit uses a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` by seeded hash). Their texts are
+read whole, on the executors, which send sketches, segment counts and figures; every text is scored whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,9 +29,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textloom.llm._common import chunks, free_name
 
 #: Bounds of the fit.
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2_500, 4_000, 20_000
-#: Window and gain floor in bytes; ordinary words in both dictionaries; significance and ratio that a segment needs.
-WINDOW, FLOOR, BASE_WORDS, Z, RATIO, MAX_SEGMENTS = 48, 1, 300, 4.5, 10.0, 400
+MAX_TOXIC, MAX_ORDINARY = 2_500, 4_000
+#: Window and gain floor in bytes; ordinary words in both dictionaries and as filler; significance and ratio that a segment needs.
+WINDOW, FLOOR, BASE_WORDS, FILLER_WORDS, Z, RATIO, MAX_SEGMENTS = 48, 1, 300, 2000, 4.5, 10.0, 400
 OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -80,36 +79,40 @@ def segments(text: str) -> set[bytes]:
     return out
 
 
-def unlike(texts: list[str], sketch: int = 8) -> list[str]:
-    """The texts without near copies of earlier ones, so that a much copied document counts once.
+def lowest_hashes(text: str, sketch: int = 8) -> list[int]:
+    """The lowest hashes of a text's shingles (three words)."""
+    words = plain(text.encode()).split()
+    return sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})[:sketch]
 
-    A text goes if at least two of its lowest shingle hashes (three words) are those of an earlier text.
+
+def lowest_words(words: set[bytes]) -> list[bytes]:
+    """The words of lowest hash that dictionaries need. Those of a union are among those of its parts."""
+    return sorted(words, key=lambda w: (xxhash.xxh64_intdigest(w), w))[: BASE_WORDS + FILLER_WORDS]
+
+
+def unlike(rows: list) -> list:
+    """The rows without near copies of earlier ones, so that a much copied document counts once.
+
+    A row goes if at least two of its lowest hashes are those of an earlier row.
     """
     seen: set[int] = set()
     out = []
-    for text in texts:
-        words = plain(text.encode()).split()
-        hashes = {xxhash.xxh64_intdigest(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))}
-        lowest = sorted(hashes)[:sketch]
+    for row in rows:
+        lowest = row["lowest"]
         if sum(h in seen for h in lowest) < min(2, len(lowest)):
-            out.append(text)
+            out.append(row)
         seen.update(lowest)
     return out
 
 
-def contrast(toxic: list[str], ordinary: list[str]) -> list[bytes]:
-    """Segments that are significantly more frequent in toxic documents, the strongest first (of equals the longest), none within another."""
-    there, here = Counter(), Counter()
-    for counter, texts in ((there, toxic), (here, ordinary)):
-        for text in texts:
-            counter.update(segments(text))
+def contrast(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int) -> list[bytes]:
+    """Segments (with their toxic and ordinary documents) that are significantly more frequent in toxic ones, the strongest first (of equals the longest), none within another."""
     found = []
-    for segment, k in there.items():
-        z = here[segment]
-        share, other, both = k / len(toxic), z / len(ordinary), (k + z) / (len(toxic) + len(ordinary))
-        if k < 4 or (z + 0.5) / (len(ordinary) + 1) * RATIO > (k + 0.5) / (len(toxic) + 1):
+    for segment, k, z in counts:
+        share, other, both = k / n_toxic, z / n_ordinary, (k + z) / (n_toxic + n_ordinary)
+        if k < 4 or (z + 0.5) / (n_ordinary + 1) * RATIO > (k + 0.5) / (n_toxic + 1):
             continue
-        ratio = sum(n * np.log(p / q) for n, p, q in ((k, share, both), (z, other, both), (len(toxic) - k, 1 - share, 1 - both), (len(ordinary) - z, 1 - other, 1 - both)) if n)
+        ratio = sum(n * np.log(p / q) for n, p, q in ((k, share, both), (z, other, both), (n_toxic - k, 1 - share, 1 - both), (n_ordinary - z, 1 - other, 1 - both)) if n)
         if 2 * ratio >= Z * Z:
             found.append((-ratio, -len(segment), segment))
     picked: list[bytes] = []
@@ -122,12 +125,11 @@ def contrast(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     return picked
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+def dictionaries(words: list[bytes], picked: list[bytes]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary, equally long."""
-    words = sorted({w for t in ordinary[:1500] for w in plain(t.encode()).split()}, key=lambda w: (xxhash.xxh64_intdigest(w), w))
     base = b" " + b" ".join(words[:BASE_WORDS]) + b" "
-    more = b"".join(reversed(contrast(toxic, ordinary)))
-    filler = b" " + b" ".join(words[BASE_WORDS : BASE_WORDS + 2000]) + b" "
+    more = b"".join(reversed(picked))
+    filler = b" " + b" ".join(words[BASE_WORDS:]) + b" "
     filler = (filler * (len(more) // len(filler) + 1))[: len(more)]
     return more + base, filler + base
 
@@ -172,37 +174,63 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mean, scale, w[:-1], float(w[-1]), float(cut)
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model | None:
-    """A model from labelled texts; dictionaries from the first 60 % of either, weights from the rest. None without both kinds."""
-    toxic, ordinary = unlike(toxic), unlike(ordinary)
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return None
-    a, b = max(1, len(toxic) * 6 // 10), max(1, len(ordinary) * 6 // 10)
-    contents = dictionaries(toxic[:a], ordinary[:b])
-    pair = [compressor(c) for c in contents]
-    x = np.array([figures(t, *pair) for t in toxic[a:] + ordinary[b:]])
-    y = np.array([1.0] * (len(toxic) - a) + [0.0] * (len(ordinary) - b))
-    return Model(*contents, *calibrate(x, y))
-
-
 def held_out(id_col: str) -> Column:
     """Whether a row's label must not be learned from: crc32 of the id as text, mod 5, is 0 (a null id counts as an empty text)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, seed: int) -> Model | None:
-    spark = docs.sparkSession
+    """A model from labelled texts; dictionaries from the first 60 % of either kind, weights from the rest. None without both kinds."""
+    spark, id_kind = docs.sparkSession, labels.schema[id_col].dataType.simpleString()
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
     order = F.xxhash64(F.lit(seed), F.col(id_col))
-    texts = []
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.sha2(text_col, 256).alias("at"), F.col(text_col).alias("text"))
+
+    def sketch(batches):
+        for batch in batches:
+            lowest = [[h - (1 << 64) if h >> 63 else h for h in lowest_hashes(t)] for t in batch["text"]]
+            yield batch[["id", "at"]].assign(lowest=lowest)
+
+    places = []
     for kind, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
         ids = usable.where((F.col("toxic") > 0) == F.lit(bool(kind))).orderBy(order, id_col).limit(most).select(id_col).collect()
         if not ids:
             return None
-        picked = spark.createDataFrame([tuple(r) for r in ids], f"`{id_col}` {labels.schema[id_col].dataType.simpleString()}")
-        rows = docs.select(id_col, F.left(text_col, F.lit(MAX_CHARS)).alias("text")).join(F.broadcast(picked), id_col, "left_semi").where("text is not null").orderBy(order, id_col, "text").limit(most)
-        texts.append([r["text"] for r in rows.collect()])
-    return fit(*texts)
+        picked = spark.createDataFrame([tuple(r) for r in ids], f"id {id_kind}")
+        rows = texts.join(F.broadcast(picked), "id", "left_semi").mapInPandas(sketch, f"id {id_kind}, at string, lowest array<bigint>")
+        rows = unlike(rows.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id", "at").limit(most).collect())
+        if len(rows) < 2:
+            return None
+        places.append([(r["id"], r["at"], kind, n) for n, r in enumerate(rows)])
+    a, b = (max(1, len(p) * 6 // 10) for p in places)
+    chosen = lambda rows: texts.join(F.broadcast(spark.createDataFrame(rows, f"id {id_kind}, at string, kind int, place int")), ["id", "at"]).dropDuplicates(["kind", "place"])
+
+    def split(batches):
+        for batch in batches:
+            for text, kind in zip(batch["text"], batch["kind"], strict=True):
+                yield pd.DataFrame({"segment": sorted(segments(text)), "kind": kind})
+
+    def least(batches):
+        words: set[bytes] = set()
+        for batch in batches:
+            for text in batch["text"]:
+                words = set(lowest_words(words | set(plain(text.encode()).split())))
+        yield pd.DataFrame({"word": sorted(words)})
+
+    learned = chosen(places[0][:a] + places[1][:b])
+    counts = learned.mapInPandas(split, "segment binary, kind int").groupBy("segment").agg(F.sum("kind").alias("k"), F.sum(1 - F.col("kind")).alias("z")).where("k >= 4").collect()
+    words = chosen(places[1][: min(b, 1500)]).mapInPandas(least, "word binary").distinct().collect()
+    contents = dictionaries(lowest_words({bytes(r["word"]) for r in words}), contrast([(bytes(r["segment"]), r["k"], r["z"]) for r in counts], a, b))
+
+    def measure(batches):
+        pair = [compressor(c) for c in contents]
+        for batch in batches:
+            x = np.array([figures(t, *pair) for t in batch["text"]]).reshape(-1, 3)
+            yield batch[["kind", "place"]].assign(mean=x[:, 0], most=x[:, 1], many=x[:, 2])
+
+    rest = chosen(places[0][a:] + places[1][b:]).mapInPandas(measure, "kind int, place int, mean double, most double, many double").collect()
+    rest.sort(key=lambda r: (-r["kind"], r["place"]))
+    return Model(*contents, *calibrate(np.array([tuple(r)[2:] for r in rest]), np.array([float(r["kind"]) for r in rest])))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> DataFrame:
