@@ -26,6 +26,25 @@ def recovery_point(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a recovery point, marked for broadcast if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+#: Rows (a key and a hash) that ``without`` broadcasts at most.
+MOST_KEYS = 500_000
+
+
+def _matching(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str) -> DataFrame:
+    same = F.col(f"a.`{id_col}`").eqNullSafe(F.col("b.id")) & (F.xxhash64(F.col(f"a.`{text_col}`")) == F.col("b.tie"))
+    return docs.alias("a").join(bounded(keys, MOST_KEYS).alias("b"), same, how).select(*(F.col(f"a.`{c}`") for c in docs.columns))
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text's hash aren't among ``keys(id, tie)``, a recovery point. Texts don't move while the keys are few."""
+    return _matching(docs, keys, id_col, text_col, "left_anti")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that starts as ``base`` and that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -153,19 +153,21 @@ def _op5_sql() -> str:
     from d left join spans using (doc_id) group by d.doc_id"""
 
 
-def _op9_sql() -> str:
-    """Spaced seeds as joined words, and all windows around each hit compared word by word."""
-    words = "list_filter(string_split_regex(lower(coalesce(text, '')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
-    seeds = lambda t, key: " union all ".join(
-        f"select {key}, {n} as mask, pos, concat_ws(' ', {', '.join(f'w[pos + {o + 1}]' for o, b in enumerate(m) if b == '1')}) as seed from (select {key}, w, unnest(range(len(w) - {len(m) - 1})) as pos from {t})" for n, m in enumerate(decontaminate.MASKS)
-    )
-    return f"""with dw as (select doc_id, {words} as w from documents), iw as (select distinct item_id, w from (select item_id, {words} as w from benchmark) where len(w) >= 8),
-    hits as (select d.doc_id, i.item_id, d.pos as pos, i.pos as item_at from ({seeds('dw', 'doc_id')}) d join ({seeds('iw', 'item_id')}) i using (mask, seed)),
-    sized as (select hits.*, dw.w as w, iw.w as v, least({decontaminate.WINDOW}, len(iw.w)) as n from hits join dw using (doc_id) join iw using (item_id)),
-    starts as (select *, unnest(range(greatest(0, least(item_at, len(v) - n) - n + 1), least(item_at, len(v) - n) + 1)) as s from sized),
-    rated as (select *, (select count_if(pos - item_at + j >= 0 and w[pos - item_at + j + 1] = v[j + 1]) from (select unnest(range(s, s + n)) as j)) as equal from starts),
-    best as (select doc_id, item_id, n, pos - item_at + s as first, equal from rated qualify row_number() over (partition by doc_id, item_id, pos, item_at order by equal desc, s desc) = 1)
-    select doc_id, item_id, cast(greatest(0, min(first)) as int) as first_word, cast(max(first + n - 1) as int) as last_word, max(equal / n) as equal_share from best where equal >= {decontaminate.SHARE} * n group by doc_id, item_id"""
+#: All windows on all diagonals with enough equal words: no seeds and no masks.
+OP9_SQL = r"""
+with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+iw as (select distinct item_id, w, len(w) as n, least(13, len(w)) as size from
+  (select item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark) where len(w) >= 3),
+needs as (select *, row_number() over () as item, case when n < 8 then n else ceil(0.75 * size) end as need from iw),
+dp as (select doc_id, len(w) as doc_words, unnest(w) as word, unnest(range(len(w))) as pos from dw),
+ip as (select item, unnest(w) as word, unnest(range(n)) as spot from needs),
+equal as (select distinct doc_id, doc_words, item, pos - spot as diag, spot from dp join ip using (word)),
+many as (select doc_id, doc_words, item, diag, list(spot) as ats from equal join needs using (item) group by doc_id, doc_words, item, diag, need having count(*) >= need),
+starts as (select doc_id, doc_words, item_id, diag, ats, size, need, unnest(range(n - size + 1)) as s from many join needs using (item)),
+rated as (select *, len(list_filter(ats, lambda a: a >= s and a < s + size)) as equal from starts)
+select doc_id, item_id, cast(min(greatest(0, diag + s)) as int) as first_word, cast(max(least(diag + s + size, doc_words)) - 1 as int) as last_word, max(equal / size) as equal_share
+from rated where equal >= need group by doc_id, item_id
+"""
 
 
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": _op9_sql()}
+ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": OP9_SQL}
