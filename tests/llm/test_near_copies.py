@@ -61,5 +61,7 @@ def test_ids_texts_and_empty_tables(make_docs):
     docs = make_docs(rows).withColumnRenamed("lang", "component_id_")
     out = near_copies.deduplicate(docs)
     assert out.columns == docs.columns
-    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[5], rows[6]]))
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6]]))
+    twice = make_docs([*rows, *rows, (9, "a third text of this id")])
+    assert sorted(repr((r["doc_id"], r["text"])) for r in near_copies.deduplicate(twice).collect()) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], (9, "a third text of this id")]))
     assert near_copies.deduplicate(make_docs([])).count() == 0

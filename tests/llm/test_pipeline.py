@@ -5,10 +5,12 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
 
 import corpus_pipeline
-from textloom.llm import queries, simhash
+from textloom.llm import queries
+
+from test_near_copies import kept_by_brute_force
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
@@ -35,15 +37,8 @@ def test_columns_and_rows(stages):
 
 def test_near_dedup_keeps_one_of_each_group(stages):
     _, before, after = stages[1]
-    rows = before.select("doc_id", "text").collect()
-    prints = {r["doc_id"]: simhash.fingerprint_of(r["text"]) for r in rows}
-    root = {d: d for d in prints}
-    for _ in range(len(root)):
-        new = {d: min(root[e] for e in root if bin(prints[d] ^ prints[e]).count("1") <= 2) for d in root}
-        if new == root:
-            break
-        root = new
-    assert sorted(r[0] for r in after.select("doc_id").collect()) == sorted(set(root.values()))
+    rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
+    assert sorted(r[0] for r in after.select("doc_id").collect()) == kept_by_brute_force(rows)
 
 
 def test_decontamination_drops_verbatim_passages(spark, stages):

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from textloom.llm import components, simhash
+from textloom.llm import _common, components, simhash
 
 
 def slow_print(text):
@@ -90,9 +90,30 @@ def test_near_duplicates_whole_table(spark, make_docs):
         ids = [rows[j][0] for j in range(len(rows)) if root[j] == root[i] and rows[j][0] is not None]
         expected.append((r[0], int(np.uint64(prints[r]).astype(np.int64)), min(ids)))
     assert sorted(got, key=repr) == sorted(expected, key=repr)
-    kept = sorted((r["doc_id"] for r in simhash.deduplicate(docs).collect()), key=repr)
-    named = {e[0] for e in expected if e[0] == e[2]}
-    assert {k for k in kept if k is not None} == named and None in kept and kept.count(2) == 2
+
+
+def one_of_each(rows, root):
+    """The rows that stay: of each group the one of the smallest id (null last), then of the smallest text hash, once."""
+    stay = {}
+    for i, r in enumerate(rows):
+        key = (r[0] is None, r[0] or 0, (x := xxhash.xxh64_intdigest((r[1] or "").encode(), 42)) - (x >> 63 << 64) if r[1] is not None else 42)
+        if root[i] not in stay or key < stay[root[i]][0]:
+            stay[root[i]] = (key, r[:2])
+    return sorted((r for _, r in stay.values()), key=repr)
+
+
+def test_deduplicate_goes_by_id_and_text(spark, make_docs, monkeypatch):
+    a, b, other = (" ".join(random.Random(n).choice("abcdefgh") * 3 for _ in range(40)) for n in range(3))
+    rows = [(2, a), (5, a.upper()), (5, other), (7, b), (7, b), (None, a), (None, b), (8, None), (8, ""), (8, ""), (None, "only here " * 9), (None, "only here " * 9)]
+    rows += [(i, a) for i in range(100, 400)]
+    docs = make_docs(rows).withColumnRenamed("lang", "root").withColumnRenamed("source", "tie")
+    prints = [slow_print(r[1]) for r in rows]
+    expected = one_of_each(rows, roots([(i, prints.index(p)) for i, p in enumerate(prints)], range(len(rows))))
+    assert len(expected) == 5
+    got = simhash.deduplicate(docs)
+    assert got.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == expected
+    monkeypatch.setattr(_common, "MOST_KEYS", 0)
+    assert sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(docs).collect()), key=repr) == expected
 
 
 def test_empty_table(spark, make_docs):

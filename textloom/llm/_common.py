@@ -45,6 +45,40 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
     return _matching(docs, keys, id_col, text_col, "left_anti")
 
 
+def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs`` for each group of ``members(id, tie, root)``, a recovery point with one row per row of ``docs``.
+
+    The row of the smallest id stays (null ids last; of one id the smallest hash of the text; of rows equal in both the smallest hash of the
+    whole row). Only rows that are repeated as a whole move between executors while the dropped keys are few.
+    """
+    keys = members.groupBy("root", "id", "tie").agg(F.count(F.lit(1)).alias("n"))
+    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie")).alias("first"))
+    judged = recovery_point(join_hot(keys, first, "root", members).withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))).where("n > 1 or not stays"))
+    left = without(docs, recovery_point(judged.where("not stays").select("id", "tie")), id_col, text_col)
+    repeated = recovery_point(judged.where("stays").select("id", "tie"))
+    if repeated.isEmpty():
+        return left
+    whole = _matching(left, repeated, id_col, text_col, "left_semi").select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
+    own = f"row.c{docs.columns.index(id_col)}", f"row.c{docs.columns.index(text_col)}"
+    once = whole.groupBy(F.col(own[0]).alias("id"), F.xxhash64(own[1]).alias("tie")).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return without(left, repeated, id_col, text_col).unionByName(once.select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, in which ``key`` is unique, where single keys may hold much of ``left``.
+
+    Keys with over 1 / (8 * width) of the rows (of ``rows``, else of ``left``: a recovery point) are fewer than 8 * width: their part of ``right`` is
+    broadcast, and their rows stay where they are. The others are joined by a shuffle.
+    """
+    rows = left if rows is None else rows
+    most = max(1, rows.count() // (8 * shuffle_width(left.sparkSession)))
+    hot = recovery_point(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key))
+    if hot.isEmpty():
+        return left.join(right, key)
+    few = recovery_point(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that starts as ``base`` and that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

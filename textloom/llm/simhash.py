@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._common import free_name, recovery_point, shuffle_width
+from textloom.llm._common import join_hot, one_of_each, recovery_point, shuffle_width
 from textloom.llm.components import connected_components
 
 #: Shingles whose bits are counted at a time.
@@ -56,15 +56,15 @@ def fingerprint_of(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
-    """``(id_col, fp)``: the signed form of each text's fingerprint; one row per row of ``docs``."""
+    """``(id, tie, fp)``: the id, the text's xxhash64 and the signed form of its fingerprint; one row per row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [id_col, "fp"])
+            prints = np.fromiter((fingerprint_of(t.as_py(), shingle, seed) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], ["id", "tie", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tie"), text_col).mapInArrow(run, f"id {kind}, tie bigint, fp bigint")
 
 
 def _differing(a: str, b: str) -> Column:
@@ -116,27 +116,30 @@ def links(prints: DataFrame, distance: int = 2, crowd: int = 8) -> DataFrame:
     return twos.unionByName(few).unionByName(crowded)
 
 
+def _rooted(prints: DataFrame, distance: int, crowd: int) -> DataFrame:
+    """``(fp, root)`` of every fingerprint."""
+    own = prints.select("fp").distinct()
+    found = connected_components(links(own, distance, crowd))
+    return recovery_point(own.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, crowd: int = 8, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: ``(id_col, fp, component_id)``.
 
     ``component_id`` is the smallest id reachable over links, its own included.
-    Null and blank texts have fingerprint zero and link like any other. Null ids
+    Null and blank texts have fingerprint zero and link like any other; long texts are read whole. Null ids
     take part but never name a component (null if a component has no other); rows with
-    one id twice each get their row. An empty table gives an empty result.
+    one id twice each get their row. Other columns aren't read. An empty table gives an empty result.
     """
     prints = recovery_point(with_fingerprints(docs, id_col, text_col, shingle, seed))
-    own = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    found = connected_components(links(own.select("fp"), distance, crowd))
-    rooted = own.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    name = free_name(prints, "component_id")
-    lowest = rooted.groupBy("root").agg(F.min("least").alias(name))
-    return prints.join(rooted.join(lowest, "root").select("fp", name), "fp", "left").select(id_col, "fp", name)
-
+    rooted = _rooted(prints, distance, crowd)
+    name = "component_id" if id_col.lower() != "component_id" else "component_id_"
+    lowest = prints.groupBy("fp").agg(F.min("id").alias("least")).join(rooted, "fp").groupBy("root").agg(F.min("least").alias(name))
+    return join_hot(prints, rooted.join(lowest, "root").select("fp", name), "fp").select(F.col("id").alias(id_col), "fp", name)
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that name their component: one document of each group stays.
 
-    Rows with a null id stay. Of rows that repeat a surviving id, all stay.
-    """
-    drop = near_duplicates(docs, id_col, text_col, **options).where(F.col("component_id") < F.col(id_col)).select(id_col).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 2, crowd: int = 8, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each component, as ``one_of_each`` says: that of the smallest id; exact repeats and copies with a null id go too."""
+    prints = recovery_point(with_fingerprints(docs, id_col, text_col, shingle, seed))
+    members = recovery_point(join_hot(prints, _rooted(prints, distance, crowd), "fp").select("id", "tie", "root"))
+    return one_of_each(docs, members, id_col, text_col)
