@@ -2,16 +2,16 @@
 
 Two zstandard dictionaries of equal length are made from labelled text. Both hold the
 same sample of ordinary words; one adds the word beginnings and words that are
-significantly (by a likelihood-ratio test) over-represented in toxic documents, the other as many bytes more of ordinary words. Each text
+significantly (by a likelihood-ratio test) over-represented in toxic documents, the strongest first while there is room, the other as many bytes more of ordinary words. Each text
 is cut into short windows at word ends; a window's gain is its compressed length with the
 ordinary dictionary minus that with the toxic one. Three figures of a document's gains (mean over a
 floor, largest, count, the last two with damped length) enter a logistic model whose weights and cut are calibrated
 on labelled documents that the dictionaries haven't seen.
 
 Generic dictionary training picks segments that are frequent, and toxic documents are mostly ordinary text: dictionaries trained that way
-hardly differ (held-out ranking 0.56 to 0.68). So the toxic dictionary's content is chosen by contrast.
+hardly differ. So the toxic dictionary's content is chosen by contrast. ``toxicity_figures.py`` measures both.
 
-The fit uses a bounded sample of labelled rows (``MAX_TOXIC``, ``MAX_ORDINARY`` by seeded hash). Their texts are
+The fit uses a bounded sample of labelled rows (``most_toxic``, ``most_ordinary`` by seeded hash). Their texts are
 read whole, on the executors, which send sketches, segment counts and figures; every text is scored whole.
 """
 
@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm._common import chunks, free_name
 
-#: Bounds of the fit.
+#: Labelled rows that the fit uses at most.
 MAX_TOXIC, MAX_ORDINARY = 2_500, 4_000
-#: Window and gain floor in bytes; ordinary words in both dictionaries and as filler; significance and ratio that a segment needs.
-WINDOW, FLOOR, BASE_WORDS, FILLER_WORDS, Z, RATIO, MAX_SEGMENTS = 48, 1, 300, 2000, 4.5, 10.0, 400
+#: Window and gain floor in bytes; ordinary words in both dictionaries and as filler; significance and ratio that a segment needs; bytes of segments in the dictionary.
+WINDOW, FLOOR, BASE_WORDS, FILLER_WORDS, Z, RATIO, SEGMENT_BYTES = 48, 1, 300, 2000, 4.5, 10.0, 1 << 14
 OTHER = re.compile(rb"[^a-z\x80-\xff]+")
 
 
@@ -70,11 +70,11 @@ def windows(text: str | None):
 
 
 def segments(text: str) -> set[bytes]:
-    """Words of 4 to 16 bytes and word beginnings of 4 to 11 bytes, each with the space before."""
+    """Words of 4 bytes up to a window's and word beginnings of 4 to 11 bytes, each with the space before."""
     out = set()
     for word in set(plain(text.encode()).split()):
         out.update(b" " + word[:k] for k in range(4, min(len(word), 12)))
-        if 4 <= len(word) <= 16:
+        if 4 <= len(word) <= WINDOW:
             out.add(b" " + word + b" ")
     return out
 
@@ -116,12 +116,12 @@ def contrast(counts: list[tuple[bytes, int, int]], n_toxic: int, n_ordinary: int
         if 2 * ratio >= Z * Z:
             found.append((-ratio, -len(segment), segment))
     picked: list[bytes] = []
+    room = SEGMENT_BYTES
     for _, _, segment in sorted(found):
         bare = segment.strip()
-        if not any(bare in p or p.strip() in bare for p in picked):
+        if len(segment) <= room and not any(bare in p or p.strip() in bare for p in picked):
             picked.append(segment)
-            if len(picked) == MAX_SEGMENTS:
-                break
+            room -= len(segment)
     return picked
 
 
@@ -179,7 +179,7 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, seed: int) -> Model | None:
+def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5, most_toxic: int = MAX_TOXIC, most_ordinary: int = MAX_ORDINARY) -> Model | None:
     """A model from labelled texts; dictionaries from the first 60 % of either kind, weights from the rest. None without both kinds."""
     spark, id_kind = docs.sparkSession, labels.schema[id_col].dataType.simpleString()
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("toxic"))
@@ -192,7 +192,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             yield batch[["id", "at"]].assign(lowest=lowest)
 
     places = []
-    for kind, most in ((1, MAX_TOXIC), (0, MAX_ORDINARY)):
+    for kind, most in ((1, most_toxic), (0, most_ordinary)):
         ids = usable.where((F.col("toxic") > 0) == F.lit(bool(kind))).orderBy(order, id_col).limit(most).select(id_col).collect()
         if not ids:
             return None
@@ -219,7 +219,7 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     learned = chosen(places[0][:a] + places[1][:b])
     counts = learned.mapInPandas(split, "segment binary, kind int").groupBy("segment").agg(F.sum("kind").alias("k"), F.sum(1 - F.col("kind")).alias("z")).where("k >= 4").collect()
-    words = chosen(places[1][: min(b, 1500)]).mapInPandas(least, "word binary").distinct().collect()
+    words = chosen(places[1][:b]).mapInPandas(least, "word binary").distinct().collect()
     contents = dictionaries(lowest_words({bytes(r["word"]) for r in words}), contrast([(bytes(r["segment"]), r["k"], r["z"]) for r in counts], a, b))
 
     def measure(batches):
@@ -233,13 +233,13 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return Model(*contents, *calibrate(np.array([tuple(r)[2:] for r in rest]), np.array([float(r["kind"]) for r in rest])))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 5, **bounds) -> DataFrame:
     """``docs`` with score (double, 0 to 1) and predicted (int: score of 0.5 or more) appended.
 
     Null, empty and wordless texts get the score of a text without gains. Labels without one of the two classes give every row score 0.
-    Equal texts get equal scores. An empty table gives an empty result.
+    Equal texts get equal scores, and repeated rows each get theirs; long texts are scored whole, window by window. Null ids are scored, never learned from. An empty table gives an empty result.
     """
-    model = fit_labelled(docs, labels, id_col, text_col, label_col, seed)
+    model = fit_labelled(docs, labels, id_col, text_col, label_col, seed, **bounds)
     score, predicted = free_name(docs, "score"), free_name(docs, "predicted")
     if model is None:
         return docs.withColumn(score, F.lit(0.0)).withColumn(predicted, F.lit(0))
