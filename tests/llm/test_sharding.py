@@ -1,6 +1,33 @@
+import hashlib
+import zlib
+
 import numpy as np
+import pytest
+from brute import HAS_TABLES, SF, rows_of, spark_hash
+
+from textloom.llm import queries, sharding
+
+MASK = (1 << 64) - 1
+
 
-from textloom.llm import sharding
+def scrambled(x, key):
+    x = (x + key) * 0x9E3779B97F4A7C15 & MASK
+    x = (x ^ x >> 29) * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
+
+
+def feistel(number, n, seed):
+    """One number through the rounds, again until it is below n."""
+    bits = max(n - 1, 1).bit_length()
+    half = (bits + 1) // 2
+    keys = [scrambled(r, (seed * 0x10001 + r) & MASK) for r in range(1, 7)]
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for key in keys:
+            left, right = right, left ^ scrambled(right, key) & (1 << half) - 1
+        number = left << half | right
+        if number < n:
+            return number
 
 
 def test_permutation_is_one_to_one_and_invertible():
@@ -37,3 +64,20 @@ def test_few_rows(spark, make_docs):
     assert sharding.shuffle_into_shards(make_docs([]), 4).count() == 0
     only = sharding.shuffle_into_shards(make_docs([(1, "a")]), 4).first()
     assert (only["slot"], 0 <= only["shard"] < 4) == (0, True)
+
+
+@pytest.mark.skipif(not HAS_TABLES, reason="needs the test tables")
+def test_query_against_brute_force(spark):
+    rows = []
+    for doc, text in rows_of(spark, "documents", "doc_id", "text"):
+        data = (text or "").encode()
+        md5 = hashlib.md5(data).digest()
+        h = spark_hash(doc, md5)
+        rows.append((h % sharding.LEAST_BUCKETS, h, doc, md5, len(data) + 1, zlib.crc32(data)))
+    rows.sort()
+    expected = []
+    for number, (_, _, doc, _, size, crc) in enumerate(rows):
+        place = feistel(number, len(rows), 0)
+        expected.append((doc, size, crc, "rows", place % 16, place // 16, None))
+    got = queries.op8_shards(spark, SF).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)

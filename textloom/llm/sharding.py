@@ -99,13 +99,13 @@ def with_row_numbers(df: DataFrame, hash_of: list[Column], sort: list[str], name
 def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("shard", "slot")) -> DataFrame:
     """``df`` with columns shard (int, from 0) and slot (long, from 0) appended.
 
-    All rows get a place: null ids, null and empty texts, and repeated rows, which get one place
-    each (equal rows are interchangeable). Names that ``df`` has already get an underscore appended. An empty table gives an empty result.
+    All rows get a place: null ids, null and empty and very long texts, and repeated rows, which get one place
+    each (rows equal in id and text are interchangeable). Names that ``df`` has already get an underscore appended. An empty table gives an empty result.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     at = free_name(df, "row_number")
-    numbered, n = with_row_numbers(df, [F.col(id_col), F.col(text_col)], [id_col], at)
+    numbered, n = with_row_numbers(df, [F.col(id_col), F.col(text_col)], [id_col, text_col], at)
     place = F.pandas_udf(lambda rows: pd.Series(permute(rows.to_numpy(), n, seed)), "bigint")
     p = free_name(numbered, "place")
     shard, slot = free_name(df, names[0]), free_name(df, names[1])
