@@ -78,14 +78,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = syncmers.with_edited(documents(spark, sf_dir))
+    found = found.withColumns({"links": syncmers.links("prints"), "edited_links": syncmers.links("edited_prints")})
     return found.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         syncmers.written("prints").alias("fingerprint"),
         syncmers.written("edited_prints").alias("edited_fingerprint"),
-        syncmers.likeness("prints", "edited_prints").alias("near_edited"),
-        syncmers.likeness("prints", "next_prints").alias("near_next"),
+        syncmers.likeness("links", "edited_links").alias("near_edited"),
+        syncmers.likeness("links", "next_links").alias("near_next"),
     )
 
 
@@ -107,8 +108,8 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty("text")
-    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = sharding.shuffle_into_shards(docs, 16, text_col="text_crc32")
+    docs = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("text_md5"))
+    placed = sharding.shuffle_into_shards(docs, 16, text_col="text_md5")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -6,8 +6,9 @@ are its runs of s words, each with a hash. A k-mer is an anchor if its least inn
 depends on the k-mer alone, so texts that share a passage share the anchors inside it, wherever it stands, and any
 k - s + 1 neighbouring k-mers hold an anchor. With the default 7 and 3 two in five k-mers are anchors.
 
-The fingerprint lists the anchors' 32-bit hashes in text order. Likeness of
-two fingerprints: twice the number of distinct shared anchors over the sum of distinct anchors (1 for equal ones).
+The fingerprint lists the anchors in text order, each with a 32-bit hash and its place. Fingerprints are matched by position: a link is an anchor with
+its next one and their distance in words, so links are shared where the same anchors stand in the same order and at the same distances, at whatever
+place of the texts. Likeness: twice the number of distinct shared links over the sum of distinct links (1 for equal texts).
 
 DataFrame functions only.
 """
@@ -36,41 +37,56 @@ def inner_hashes(words: Column, s: int = S) -> Column:
 
 
 def anchors(text: str, df: DataFrame, name: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with the anchors of column ``text`` appended as an array of ints."""
+    """``df`` with the anchors of column ``text`` appended, in text order: an array of longs, hash in the upper half, place (from 0, the marks' words counted) in the lower."""
     words, inner = (free_name(df, f"{name}_{x}") for x in ("words", "inner"))
     span = k - s  # the last inner substring of the k-mer at i starts at i + span
 
     def mark(x: Column, i: Column) -> Column:
         at = [x, *(F.get(F.col(inner), i + j) for j in range(1, span + 1))]
-        least = F.least(*at[1:-1]) if span > 1 else F.lit((1 << 63) - 1)
-        return F.when((i <= F.size(inner) - k) & (F.least(at[0], at[-1]) <= least), F.hash(*at[::s], at[-1]))
+        least = F.least(*at[1:-1]) if span > 2 else at[1] if span == 2 else F.lit((1 << 63) - 1)
+        return F.when((i <= F.size(inner) - k) & (F.least(at[0], at[-1]) <= least), F.shiftleft(F.shiftright(F.xxhash64(*at[::s], at[-1]), 32), 32) + i)
 
     out = df.withColumn(words, words_of(F.col(text), k)).withColumn(inner, inner_hashes(F.col(words), s))
     return out.withColumn(name, F.filter(F.transform(inner, mark), lambda h: h.isNotNull())).drop(words, inner)
 
 
-def written(found: str) -> Column:
-    """Anchors as eight hex digits each."""
-    return F.lower(F.array_join(F.transform(found, lambda h: F.lpad(F.hex(h.cast("bigint").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
+def _hash(anchor: Column) -> Column:
+    return F.shiftright(anchor, 32)
 
 
-def likeness(a: str, b: str) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return 2.0 * shared / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
+def _place(anchor: Column) -> Column:
+    return anchor.bitwiseAND(0xFFFFFFFF)
 
 
-def positions(text: str, df: DataFrame, name: str, k: int = K, s: int = S) -> DataFrame:
-    """``df`` with anchors and the numbers of the words at which they start (from 0; below it in the marks) appended, for matching by position."""
-    inner = free_name(df, f"{name}_inner")
-    out = df.withColumn(inner, inner_hashes(words_of(F.col(text), k), s))
-    span = k - s
+def positions(found: str, k: int = K) -> Column:
+    """Anchors as (hash, word): the number of the word at which each starts (from 0; below it in the marks)."""
+    return F.transform(found, lambda x: F.struct(_hash(x).cast("int").alias("hash"), (_place(x) - (k - 1)).cast("int").alias("word")))
 
-    def mark(x: Column, i: Column) -> Column:
-        at = [x, *(F.get(F.col(inner), i + j) for j in range(1, span + 1))]
-        least = F.least(*at[1:-1]) if span > 1 else F.lit((1 << 63) - 1)
-        return F.when((i <= F.size(inner) - k) & (F.least(at[0], at[-1]) <= least), F.struct(F.hash(*at[::s], at[-1]).alias("hash"), (i - (k - 1)).alias("word")))
 
-    return out.withColumn(name, F.filter(F.transform(inner, mark), lambda h: h.isNotNull())).drop(inner)
+def links(found: str) -> Column:
+    """32-bit hashes of each anchor with its next one and their distance in words; of the last anchor alone."""
+
+    def link(x: Column, i: Column) -> Column:
+        after = F.get(F.col(found), i + 1)
+        return F.shiftright(F.xxhash64(_hash(x), _hash(after), _place(after) - _place(x)), 32).cast("int")
+
+    return F.transform(found, link)
+
+
+def written(found: str) -> Column:
+    """Anchors as eight hex digits of their hash and one of the distance to the next (0 for the last; never above k)."""
+
+    def one(x: Column, i: Column) -> Column:
+        gap = F.coalesce(_place(F.get(F.col(found), i + 1)) - _place(x), F.lit(0))
+        return F.concat(F.lpad(F.hex(_hash(x).bitwiseAND(0xFFFFFFFF)), 8, "0"), F.hex(gap))
+
+    return F.lower(F.array_join(F.transform(found, one), ""))
+
+
+def likeness(a: str, b: str) -> Column:
+    """Of two arrays of links."""
+    shared = F.size(F.array_intersect(a, b))
+    return 2.0 * shared / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)))
 
 
 def in_order(keys: DataFrame, order: list[str], name: str) -> tuple[DataFrame, int]:
@@ -93,11 +109,11 @@ def in_order(keys: DataFrame, order: list[str], name: str) -> tuple[DataFrame, i
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 4) -> DataFrame:
-    """One row per row of ``docs``: id, n_chars, text, edited, prints, edited_prints, next_prints.
+    """One row per row of ``docs``: id, n_chars, text, edited, prints and edited_prints (anchors), next_links.
 
     ``edited``: the last floor(n_chars / share) code points replaced by the first as many (or all) of the next document by id. The next
     of the last is the first; a single document is its own next. Null texts are empty. Ids that occur with several texts are ordered by the texts' hash; rows equal in
-    both count as one document here and each get its result. Null ids come first.
+    both count as one document here and each get its result. Null ids come first. Long texts are fingerprinted whole; other columns aren't read; an empty table gives an empty result.
 
     Texts are dealt by id once; a quarter of them, and the fingerprints, move again to the document before. Fingerprints are computed where they are
     needed rather than moved with the texts.
@@ -108,8 +124,9 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gives = keys.select("kid", "tie", "g").join(taken, "g").drop("g")
     full = src.select("kid", "tie", "text")  # the same columns on both sides, so that one shuffle serves both joins
     given = full.join(gives, ["kid", "tie"]).select("id", F.col("to_kid").alias("kid"), F.col("to_tie").alias("tie"), F.left("text", F.col("most")).alias("piece"), "text")
-    given = anchors("text", given, "next_prints").groupBy("kid", "tie").agg(F.first("id").alias("id"), F.first("piece").alias("piece"), F.first("next_prints").alias("next_prints"))
-    met = full.join(given, ["kid", "tie"]).select("id", "text", "piece", "next_prints")
+    given = anchors("text", given, "next_prints").withColumn("next_links", links("next_prints"))
+    given = given.groupBy("kid", "tie").agg(F.first("id").alias("id"), F.first("piece").alias("piece"), F.first("next_links").alias("next_links"))
+    met = full.join(given, ["kid", "tie"]).select("id", "text", "piece", "next_links")
     size = F.length("text")
     done = met.withColumn("n_chars", size.cast("bigint")).withColumn("edited", F.concat(F.left("text", (size - F.expr(f"n_chars div {share}")).cast("int")), F.col("piece"))).drop("piece")
     return anchors("edited", anchors("text", done, "prints"), "edited_prints").withColumnRenamed("id", id_col)
