@@ -52,8 +52,8 @@ class Model:
 
 
 def plain(data: bytes) -> bytes:
-    """Lower-case words between single spaces, one at each end."""
-    return b" " + b" ".join(OTHER.sub(b" ", data.lower()).split()) + b" "
+    """Lower-case words between single spaces, one at each end; one space without words."""
+    return b" " + b"".join(w + b" " for w in OTHER.sub(b" ", data.lower()).split())
 
 
 def windows(text: str | None):
