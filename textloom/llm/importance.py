@@ -13,55 +13,102 @@ labelled rows (``MAX_LABELLED``, by seeded hash).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm._common import chunks, free_name, recovery_point
+from textloom.llm._common import free_name, recovery_point
 
-#: Hashed n-gram buckets; labelled rows that are used at most; words of a document that are counted at a time.
-BUCKETS, MAX_LABELLED = 10_000, 20_000
-#: Words and runs of other signs, in bytes of lower-cased text.
-TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
-CACHE = 300_000
+#: Hashed n-gram buckets; labelled rows that are used at most; bytes of text that are counted at a time.
+BUCKETS, MAX_LABELLED, BLOCK = 10_000, 20_000, 1 << 18
+#: Kinds of bytes: white space (0), letters, digits and all from 128 on (1), other signs (2). A token is a run of one of the last two kinds.
+KIND = np.full(256, 2, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
+#: An odd number, its inverse modulo 2 ** 64, and the powers of both.
+FACTOR = 0x9E3779B97F4A7C15
+_POWERS, _INVERSES = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(BLOCK, x, np.uint64)]), dtype=np.uint64) for x in (np.uint64(FACTOR), np.uint64(pow(FACTOR, -1, 1 << 64))))
 
 
-class _Ids(dict):
-    """Hashes of words seen, as a bounded cache."""
+def pieces(data: bytes) -> Iterator[bytes]:
+    """``data`` in pieces of at most BLOCK bytes that end at a space or line end. A run of BLOCK bytes without one is cut: its tokens count in parts."""
+    start = 0
+    while len(data) - start > BLOCK:
+        cut = max(data.rfind(b" ", start + 1, start + BLOCK), data.rfind(b"\n", start + 1, start + BLOCK))
+        cut = cut if cut > start else start + BLOCK
+        yield data[start:cut]
+        start = cut
+    yield data[start:]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
 
-def gram_buckets(text: str | None, ids: _Ids) -> Iterator[np.ndarray]:
-    """Buckets of all words and neighbouring pairs of one text, in blocks."""
-    last = np.zeros(0, np.uint64)
-    for piece in chunks((text or "").encode().lower()):
-        found = TOKEN.findall(piece)
-        one = np.fromiter(map(ids.__getitem__, found), np.uint64, len(found))
-        run = np.concatenate([last, one])
-        with np.errstate(over="ignore"):
-            two = (run[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ run[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(20)
-        yield np.concatenate([one >> np.uint64(20), two]) % np.uint64(BUCKETS)
-        last = one[-1:] if len(one) else last
+
+def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and hashes of the tokens: sums of (byte + 1) * FACTOR ** place, mixed."""
+    raw = np.frombuffer(data, np.uint8)
+    kind = np.concatenate([[0], KIND[raw], [0]])
+    edge = np.flatnonzero(kind[1:] != kind[:-1])
+    own = kind[edge + 1] > 0  # an edge starts a token unless white space follows
+    start, stop = edge[own], edge[1:][own[:-1]]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(raw)], dtype=np.uint64)])
+    return start, _mixed((sums[stop] - sums[start]) * _INVERSES[start])
+
+
+def _pairs(one: np.ndarray) -> np.ndarray:
+    return _mixed(one[:-1] * np.uint64(FACTOR) ^ one[1:])
+
+
+def grams(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the texts and buckets of all their words and neighbouring pairs, in blocks.
+
+    Short texts share a block; a text of more than one block has its blocks to itself. So what is given for a text doesn't depend on others.
+    """
+    shared: list[tuple[int, bytes]] = []
+    room = BLOCK
+    for number, text in enumerate(texts):
+        data = (text or "").encode().lower()
+        if len(data) + 1 > room and shared:
+            yield _block(shared)
+            shared, room = [], BLOCK
+        if len(data) + 1 <= BLOCK:
+            shared.append((number, data))
+            room -= len(data) + 1
+            continue
+        last = np.zeros(0, np.uint64)
+        for piece in pieces(data):
+            _, one = _tokens(piece)
+            run = np.concatenate([last, one])
+            found = np.concatenate([one, _pairs(run)]) % np.uint64(BUCKETS)
+            yield np.full(len(found), number), found.astype(np.int64)
+            last = run[-1:]
+    if shared:
+        yield _block(shared)
+
+
+def _block(shared: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts joined by line ends; pairs across texts are left out."""
+    start, one = _tokens(b"\n".join(data for _, data in shared))
+    ends = np.cumsum([len(data) + 1 for _, data in shared])
+    at = np.searchsorted(ends, start, side="right")
+    inside = at[:-1] == at[1:]
+    numbers = np.array([n for n, _ in shared])
+    return numbers[np.concatenate([at, at[:-1][inside]])], (np.concatenate([one, _pairs(one)[inside]]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def count_grams(docs: DataFrame, text_col: str) -> np.ndarray:
     """How often each bucket occurs in all texts. Each task sends one number a bucket."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, ids = np.zeros(BUCKETS, np.int64), _Ids()
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.iloc[:, 0]:
-                for block in gram_buckets(text, ids):
-                    total += np.bincount(block.astype(np.int64), minlength=BUCKETS)
+            for _, found in grams(batch.iloc[:, 0]):
+                total += np.bincount(found, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
@@ -80,8 +127,10 @@ def log_weight(text: Column, ratio: np.ndarray) -> Column:
     """The log importance weight of a text; 0 for null and empty texts."""
 
     def weigh(texts: pd.Series) -> pd.Series:
-        ids = _Ids()
-        return pd.Series([float(sum(ratio[b.astype(np.int64)].sum() for b in gram_buckets(t, ids))) for t in texts], dtype="float64")
+        total = np.zeros(len(texts))
+        for numbers, found in grams(texts):
+            total += np.bincount(numbers, ratio[found], minlength=len(texts))
+        return pd.Series(total)
 
     return F.pandas_udf(weigh, "double")(text)
 
@@ -154,8 +203,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, seed:
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, k: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, log_weight, perturbed, kept (boolean).
 
-    Null and empty texts weigh 0. Equal rows get equal noise and are kept or rejected together; so all
-    ties of the k-th highest perturbed weight are kept. Null ids take part. An empty table gives an empty result.
+    Null and empty texts weigh 0; long texts are counted whole, block by block. Equal rows get equal noise and are kept or rejected together; so all
+    ties of the k-th highest perturbed weight are kept. Null ids take part. Other columns aren't read. An empty table gives an empty result.
     """
     ratio, cut = fit(docs, labels, id_col, text_col, label_col, seed)
     names = free_name(docs, "log_weight"), free_name(docs, "perturbed")
