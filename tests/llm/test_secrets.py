@@ -1,11 +1,14 @@
 import re
 
+from brute import spark_hash
+
 from textloom.llm import secrets
 
 TEXTS = [
     None, "", "nothing here", 'password = "abcdef"', "Password:'short", "tok token=token\"=abcdef", "api_key: x9/+=-._A", "APIKEY=abcdefgh token=12345 secret :  zzzzzz",
     "AKIA" + "A" * 16 + " AKIAAAA AKIAAKIA" + "B" * 30, "0123456789abcdef" * 2 + "g" + "a" * 23, "é😀 secret=\U0001f600abcdef token = 0123456789abcdef0123456789abcdef",
     "passwd=secret=abcdefgh", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 20, "https://user:pass@host/x", "K" * 50 + "token=abcdef",
+    "-----BEGIN " + "VERY " * 30 + "PRIVATE KEY-----", "ftp://" + "u" * 500 + ":" + "p" * 500 + "@host averylongschemenamethatgoeson://u:p@h", "Bearer" + " " * 9 + "a" * 30, "hexonly " + "f" * 30,
     "x" * 200_000 + " secret=abcdef1 " + "f" * 30,
 ]
 
@@ -21,11 +24,15 @@ def brute(text):
     return sorted(out)
 
 
-def test_spans_against_brute_force(spark):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").selectExpr("*", "1 as spans")
-    got = {r["doc_id"]: list(map(tuple, r["spans"])) for r in secrets.scan(df).collect()}
-    for i, t in enumerate(TEXTS):
-        assert got[i] == brute(t), t
+def test_spans_against_brute_force(spark, monkeypatch):
+    rows = list(enumerate(TEXTS)) + [(3, TEXTS[3]), (None, TEXTS[3])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as spans", "2 as met", "3 as text_hash")
+    out = secrets.scan(df)
+    assert out.columns == [*df.columns, "spans_"]
+    got = sorted(((r["doc_id"], r["text"], [tuple(s) for s in r["spans_"]]) for r in out.collect()), key=repr)
+    assert got == sorted(((i, t, brute(t)) for i, t in rows), key=repr)
+    monkeypatch.setattr(secrets, "MOST_KEYS", 0)
+    assert sorted(((r["doc_id"], r["text"], [tuple(s) for s in r["spans_"]]) for r in secrets.scan(df).collect()), key=repr) == got
 
 
 def test_queries_hold_for_every_match():
@@ -45,14 +52,18 @@ def met(query, text):
     return (all if query[0] == "and" else any)(met(q, text) for q in query[1])
 
 
-def test_stored_posting_lists_give_the_same_candidates(spark):
+def test_posting_lists_and_what_they_answer(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
     lists = secrets.posting_lists(df)
-    for rule in secrets.RULES:
-        query = secrets.trigram_query(rule.pattern)
-        found = secrets.ask(lists, query)
-        expected = {i for i, t in enumerate(TEXTS) if met(query, (t or "").lower())}
-        assert (found is None and query is True) or {r[0] for r in found.collect()} == expected
+    by_hash = {spark_hash(t): i for i, t in enumerate(TEXTS)}
+    expected = {(g, i) for g in secrets.vocabulary() for i, t in enumerate(TEXTS) if g in (t or "").lower()}
+    assert {(r["trigram"], by_hash[r["text_hash"]]) for r in lists.collect()} == expected
+    queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES] + [("or", ("abc", ("and", ("tok", "ken"))))]
+    lists = secrets.posting_lists(df, rules=(*secrets.RULES, secrets.Rule("x", "abc|token")))
+    got = {by_hash[r["text_hash"]]: r["met"] for r in secrets.ask(lists, queries).collect()}
+    for i, t in enumerate(TEXTS):
+        assert got.get(i, []) == [n for n, q in enumerate(queries) if q is not True and met(q, (t or "").lower())]
+    assert secrets.ask(lists, [True]).count() == 0
 
 
 def test_empty(spark):

@@ -2,12 +2,11 @@
 
 Every rule's regular expression is turned into a Boolean query over trigrams that any match must contain
 (lower-cased, so one index serves both kinds of letters). The index has a posting list for each trigram that
-some query asks for. Posting lists are bitmaps that lie beside the rows they speak about: bit i of a row's words is the entry of
-trigram i. Intersecting and uniting them is word arithmetic, no row moves, and only candidates of a rule are verified with its
-expression. Rules without a mandatory trigram scan every text.
+some query asks for: the hashes of the texts that hold it. ``ask`` intersects and unites the lists for all queries in one shuffle of these
+hashes, and only the candidates of a rule are verified with its expression. Equal hashes of different texts would only add candidates.
+Rules without a mandatory trigram scan every text.
 
-DataFrame functions only, one pass over the texts without a shuffle. ``posting_lists`` gives the same index as a table of (trigram, id), to
-be stored and asked again with ``ask``.
+DataFrame functions only. Two passes over the texts, which don't move while there are at most ``MOST_KEYS`` different candidates.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from re import _parser as sre_parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.llm._common import MOST_KEYS, bounded, free_name, recovery_point
+
 #: Literal alternatives that are followed at a time while a query is derived.
 MOST = 64
 WORD_BITS = 60
@@ -39,14 +40,15 @@ RULES: tuple[Rule, ...] = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     # Runs are matched whole, so asking for 24 digits in the pattern is the same as dropping shorter runs, and cheaper.
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pay_key", r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}"),
-    Rule("bearer", r"(?i:bearer)\x20{1,4}[A-Za-z0-9._~+/-]{20,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/@:]{1,200}:[^\s/@]{1,200}@"),
+    Rule("bearer", r"(?i:bearer)\x20+[A-Za-z0-9._~+/-]{20,}"),
+    # Of a scheme of more than 21 characters the last 21 are taken: an open end would take time in the square of a long word.
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20/@:]+:[^\x09-\x0D\x20/@]+@"),
 )
 
 # A query is True, a trigram, or ("and" | "or", a tuple of queries).
@@ -147,24 +149,15 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
 
 
-def postings(text: Column, grams: list[str]) -> Column:
-    """The bitmap entries of a text: an array of words of WORD_BITS bits."""
-    low = F.lower(text)
-    words = [grams[i : i + WORD_BITS] for i in range(0, len(grams), WORD_BITS)]
-    entry = lambda g, i: F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-    return F.array(*(_sum([entry(g, i) for i, g in enumerate(w)]) for w in words)) if words else F.array().cast("array<bigint>")
-
-
-def _sum(columns: list[Column]) -> Column:
-    while len(columns) > 1:
-        columns = [a + b for a, b in zip(columns[::2], columns[1::2], strict=False)] + columns[len(columns) & ~1 :]
-    return columns[0]
+def posting_lists(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The index as a table (trigram, text_hash): the texts that hold the trigram, by their xxhash64. A text without any isn't listed."""
+    low = F.lower(text_col)
+    found = F.filter(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in vocabulary(rules))), lambda g: g.isNotNull())
+    return docs.select(F.xxhash64(text_col).alias("text_hash"), F.explode(found).alias("trigram")).select("trigram", "text_hash")
 
 
-def candidate(words: Column, query: object, grams: list[str]) -> Column:
-    """Whether a row is in the intersections and unions of posting lists that the query asks for."""
-    if query is True:
-        return F.lit(True)
+def _met(words: list[Column], query: object, grams: list[str]) -> Column:
+    """Whether a text is in the intersections and unions of posting lists that the query asks for; bit i of the words says whether it is in list i."""
     kind, parts = ("and", (query,)) if isinstance(query, str) else query
     masks: dict[int, int] = {}
     tests = []
@@ -173,37 +166,32 @@ def candidate(words: Column, query: object, grams: list[str]) -> Column:
             at = grams.index(p)
             masks[at // WORD_BITS] = masks.get(at // WORD_BITS, 0) | 1 << at % WORD_BITS
         else:
-            tests.append(candidate(words, p, grams))
+            tests.append(_met(words, p, grams))
     for w, mask in masks.items():
-        met = words[w].bitwiseAND(F.lit(mask))
-        tests.append(met == F.lit(mask) if kind == "and" else met != 0)
+        held = words[w].bitwiseAND(F.lit(mask))
+        tests.append(held == F.lit(mask) if kind == "and" else held != 0)
     out = tests[0]
     for t in tests[1:]:
         out = out & t if kind == "and" else out | t
     return out
 
 
-def posting_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as a table (trigram, id): the rows whose text has the trigram."""
-    low = F.lower(text_col)
-    found = F.filter(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in vocabulary(rules))), lambda g: g.isNotNull())
-    return docs.select(F.explode(found).alias("trigram"), F.col(id_col))
-
+def ask(lists: DataFrame, queries: list[object]) -> DataFrame:
+    """``(text_hash, met)``: for each text that meets one of the queries, the numbers of those it meets. Queries that are True have no list and aren't reported.
 
-def ask(lists: DataFrame, query: object, id_col: str = "doc_id") -> DataFrame | None:
-    """Ids of the candidates of a query, by intersecting and uniting stored posting lists; None if all rows are."""
-    if query is True:
-        return None
-    if isinstance(query, str):
-        return lists.where(F.col("trigram") == query).select(id_col).distinct()
-    if query[0] == "and" and all(isinstance(p, str) for p in query[1]):
-        hits = lists.where(F.col("trigram").isin(*query[1])).distinct().groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-        return hits.where(F.col("n") == len(query[1])).select(id_col)
-    found = [ask(lists, p, id_col) for p in query[1]]
-    out = found[0]
-    for f in found[1:]:
-        out = out.join(f, id_col, "left_semi") if query[0] == "and" else out.unionByName(f).distinct()
-    return out
+    One shuffle for all queries: the lists are merged by text, after each task has merged its own part.
+    """
+    grams = sorted(set().union(*map(trigrams_of, queries)))
+    asked = [(n, q) for n, q in enumerate(queries) if q is not True]
+    places = {g: divmod(i, WORD_BITS) for i, g in enumerate(grams)}
+    none = F.array().cast("array<int>")
+    if not asked:
+        return lists.groupBy("text_hash").agg(F.first(none).alias("met")).limit(0)
+    bit = lambda w: F.coalesce(*(F.when(F.col("trigram") == g, F.lit(1 << i)) for g, (word, i) in places.items() if word == w), F.lit(0)).cast("bigint")
+    merged = lists.groupBy("text_hash").agg(*(F.bit_or(bit(w)).alias(f"w{w}") for w in range(-(-len(grams) // WORD_BITS))))
+    words = [F.col(f"w{w}") for w in range(-(-len(grams) // WORD_BITS))]
+    met = F.filter(F.array(*(F.when(_met(words, q, grams), F.lit(n)) for n, q in asked)), lambda n: n.isNotNull())
+    return merged.select("text_hash", met.alias("met")).where(F.size("met") > 0)
 
 
 SPANS = "array<struct<start: bigint, rank: int, end: bigint, kind: string>>"
@@ -230,18 +218,20 @@ def match_spans(text: Column, rule: Rule, rank: int) -> Column:
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
     """``docs`` with the spans of all rules appended: an array of (start, rank, end, kind) by start, then rank of the rule.
 
-    Places are code points, ends exclusive. Null and empty texts have no spans; rows are independent of each other. ``name`` replaces a column of that name.
+    Places are code points, ends exclusive. Null and empty texts have no spans; long ones are scanned whole; spans of different rules that start at one place are
+    all kept, in the rules' order; rows are independent of each other, so repeated rows repeat. ``name`` gets an underscore if ``docs`` has it. An empty table gives an empty result.
     """
-    grams = vocabulary(rules)
-    words, text = "postings_of_" + name, F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn(words, postings(text, grams))
-    none = F.array().cast(SPANS)
+    queries = [trigram_query(r.pattern) for r in rules]
+    found = recovery_point(ask(posting_lists(docs, text_col, rules), queries))
+    own, met = free_name(docs, name), free_name(docs, "met")
+    joined = docs.alias("a").join(bounded(found, MOST_KEYS).alias("b"), F.xxhash64(F.col(f"a.`{text_col}`")) == F.col("b.text_hash"), "left")
+    out = joined.select(*(F.col(f"a.`{c}`") for c in docs.columns), F.col("b.met").alias(met))
+    text, none = F.coalesce(F.col(text_col), F.lit("")), F.array().cast(SPANS)
     each = []
-    for rank, rule in enumerate(rules):
-        query = trigram_query(rule.pattern)
-        gate = candidate(F.col(words), query, grams) & text.rlike(rule.pattern)
-        each.append(F.when(gate, match_spans(text, rule, rank)).otherwise(none))
-    return out.withColumn(name, F.array_sort(F.concat(*each))).drop(words)
+    for rank, (rule, query) in enumerate(zip(rules, queries, strict=True)):
+        gate = text.rlike(rule.pattern)
+        each.append(F.when(gate if query is True else F.coalesce(F.array_contains(met, rank), F.lit(False)) & gate, match_spans(text, rule, rank)).otherwise(none))
+    return out.withColumn(own, F.array_sort(F.concat(*each))).drop(met)
 
 
 def written(spans: Column) -> Column:
