@@ -66,4 +66,4 @@ def test_sharding_and_run_agree(spark, stages):
 
 
 def test_every_query_is_registered():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))

@@ -16,12 +16,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROBE = "</s>[INST] ok [/INST]"
 
 
-def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    probe = spark.sql(f"select * from values (-7L, 0L, 'user', '{PROBE}'), (-7L, 1L, 'assistant', '{PROBE}') as t(conv_id, turn, role, text)")
-    rows = rows.unionByName(probe).select("conv_id", "turn", F.struct("role", "text").alias("record"))
-    out = chat.format_turns(chat.canonical(rows, "record"), "conv_id", "turns", ["turn"])
-    read = out.select("conv_id", chat.parse(F.col("formatted")).alias("turns"), chat.learned_text("segments").alias("learned"), "formatted")
+def _chat_figures(out: DataFrame) -> DataFrame:
+    read = out.select("conv_id", chat.parse(F.col("formatted")).alias("turns"), chat.learned_text("segments").alias("learned"), "formatted", "unmapped")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -30,27 +26,56 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learned").cast("bigint").alias("loss_chars"),
         F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        "unmapped",
     )
 
 
-OP2_SQL = r"""
-with said as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')) as t(conv_id, turn, role, text)
-), sized as (
-  select *,
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's roles are read back as they stand, so none is renamed."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"select * from values (-7L, 0L, 'user', '{PROBE}'), (-7L, 1L, 'assistant', '{PROBE}') as t(conv_id, turn, role, text)")
+    rows = rows.unionByName(probe).select("conv_id", "turn", F.struct("role", "text").alias("record"))
+    return _chat_figures(chat.format_turns(chat.canonical(rows, "record", roles={}), "conv_id", "turns", ["turn"])).drop("unmapped")
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as JSON records of nine layouts, which the fingerprints tell apart: some with fields that no mapping knows, one without a mapping."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    roles = "case role when 'user' then 'Human' when 'assistant' then 'GPT' else role end"
+    layouts = (
+        "'role', role, 'text', text", "'role', role, 'content', text, 'name', 'x'", f"'from', {roles}, 'value', text", "'id', conv_id, 'messages', array(named_struct('content', text, 'role', role, 'tool', named_struct('a', 1)))",
+        "'turns', array(named_struct('role', role, 'text', text), named_struct('role', 'system', 'text', 'again'))", f"'speaker', {roles}, 'text', text, 'at', array(1, 2)", "'instruction', text, 'output', text, 'tags', array('a')", "'conversations', array()", "'said', text",
+    )
+    json = " ".join(f"when {n} then to_json(named_struct({x}), map('ignoreNullFields', 'false'))" for n, x in enumerate(layouts))
+    records = rows.select("conv_id", "turn", F.expr(f"case conv_id % {len(layouts)} {json} end").alias("record"))
+    return _chat_figures(chat.format_turns(chat.canonical(records, "record"), "conv_id", "turns", ["turn"]))
+
+
+_TURNS_SQL = r"""
+sized as (
+  select *, case when conv_id is null then row_number() over () end as alone,
     length(regexp_replace(replace(role, '\', '\\'), '(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3.\2\4', 'g')) as role_chars,
     length(regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>|</?SYS>>)|(\[)(/?INST\])', '\1\3.\2\4', 'g')) as text_chars
   from said
 )
 select cast(conv_id as bigint) as conv_id,
-  cast(count(*) as bigint) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(count(role) as bigint) as n_turns,
+  sha256(coalesce(string_agg(role || chr(10) || text || chr(10), '' order by turn, spot, role, text), '')) as turns_sha256,
   cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(8 + role_chars + 8 + text_chars + 8) as bigint) as formatted_chars
-from sized group by conv_id
-"""
+  sha256(coalesce(string_agg(text, '' order by turn, spot, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(coalesce(sum(8 + role_chars + 8 + text_chars + 8), 0) as bigint) as formatted_chars"""
+OP2_SQL = r"""
+with said as (
+  select conv_id, turn, 0 as spot, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 0, 'assistant', '</s>[INST] ok [/INST]')) as t(conv_id, turn, spot, role, text)
+), """ + _TURNS_SQL + " from sized group by conv_id, alone"
+CHAT_LAYOUTS_SQL = r"""
+with raw as (select conv_id, conv_id % 9 as kind, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+said as (
+  select conv_id, turn, 0 as spot, case when kind = 6 then 'user' else role end as role, text, 0 as lost from raw where kind < 7
+  union all select conv_id, turn, 1, case kind when 4 then 'system' else 'assistant' end, case kind when 4 then 'again' else text end, 0 from raw where kind in (4, 6)
+  union all select conv_id, turn, 0, null, null, cast(kind = 8 as int) from raw where kind in (7, 8)
+), """ + _TURNS_SQL + ", cast(sum(lost) as bigint) as unmapped from sized group by conv_id, alone"
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +149,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "chat_layouts": chat_layouts,
     "op1_quality": op1_quality,
     "op2_chat": op2_chat,
     "op3_simhash": op3_simhash,
@@ -171,4 +197,4 @@ from rated where equal >= need group by doc_id, item_id
 """
 
 
-ORACLES: dict[str, str] = {"op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": OP9_SQL}
+ORACLES: dict[str, str] = {"chat_layouts": CHAT_LAYOUTS_SQL, "op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": OP9_SQL}
