@@ -180,6 +180,26 @@ def _op5_sql() -> str:
     from d left join spans using (doc_id) group by d.doc_id"""
 
 
+def _op7_sql() -> str:
+    """Phrases place by place; for templates, all blocks that start at one of their words and hold a prefix word (the rarest words over all documents)."""
+    rows = ", ".join(f"({n}, '{t.label}', {t.words}, {t.needed}, {t.width})" for n, t in enumerate(licenses.TEMPLATES))
+    places = " union all ".join(f"select doc_id, '{label}' as label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + {len(p.split())}] = {p.split()})) as place from dw" for p, label in licenses.PHRASES)
+    return f"""with dw as (select doc_id, list_filter(string_split_regex(lower(replace(coalesce(text, ''), '\u212a', 'ĸ')), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') as w from documents),
+    template(t, label, words, needed, width) as (select * from (values {rows}) v(a, b, c, d, e)),
+    tw as (select t, label, needed, width, len(words) as n, unnest(words) as word from template),
+    dp as (select doc_id, len(w) as doc_words, unnest(w) as word, unnest(range(len(w))) as place from dw),
+    frequency as (select word, count(*) as f from dp where word in (select word from tw) group by word),
+    ranked as (select tw.*, row_number() over (partition by t order by coalesce(f, 0), tw.word) <= n - needed + 1 as rare from tw left join frequency using (word)),
+    occurs as (select doc_id, place, t, label, needed, width, n, word, rare from dp join ranked using (word) where doc_words >= (select min(needed) from template)),
+    starts as (select distinct a.doc_id, a.t, a.place as s from occurs a join occurs h on a.doc_id = h.doc_id and a.t = h.t and h.rare and h.place between a.place and a.place + a.width - 1),
+    held as (select s.doc_id, s.t, o.label, o.needed, o.n, s.s, count(distinct o.word) as k from starts s join occurs o on s.doc_id = o.doc_id and s.t = o.t and o.place between s.s and s.s + o.width - 1 group by all),
+    best as (select doc_id, max(k / n) as score, list(distinct label) filter (k >= needed) as labels from held group by doc_id),
+    base as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as labels from ({places}) group by doc_id)
+    select dw.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(first_word as bigint) as first_word, cast(last_word as bigint) as last_word,
+    coalesce(array_to_string(list_sort(base.labels), ','), '') as base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(best.labels, [])))), ',') as labels,
+    cast(case when n_base > 0 then 1 else coalesce(score, 0) end as double) as score from dw left join base using (doc_id) left join best using (doc_id)"""
+
+
 #: All windows on all diagonals with enough equal words: no seeds and no masks.
 OP9_SQL = r"""
 with dw as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
@@ -197,4 +217,4 @@ from rated where equal >= need group by doc_id, item_id
 """
 
 
-ORACLES: dict[str, str] = {"chat_layouts": CHAT_LAYOUTS_SQL, "op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op9_leaks": OP9_SQL}
+ORACLES: dict[str, str] = {"chat_layouts": CHAT_LAYOUTS_SQL, "op2_chat": OP2_SQL, "op5_secrets": _op5_sql(), "op7_licenses": _op7_sql(), "op9_leaks": OP9_SQL}
