@@ -1,11 +1,17 @@
+import random
 from itertools import product
 
-from textloom.llm import mix_sources, mixing
+import pytest
+from brute import HAS_TABLES, SF, rows_of, spark_hash, int32
+from pyspark.sql import functions as F
+
+from textloom.llm import mix_sources, mixing, queries
 
 
 def test_fair_targets_reshare_what_is_above_the_limit():
     got = mixing.fair_targets({"a": 10, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, 315)
-    assert got["a"] == 20 and abs(sum(got.values()) - 315) < 1e-9 and abs(got["c"] - 2 * got["b"]) < 1e-9 or got["c"] == 200
+    assert got == {"a": 20.0, "b": pytest.approx(295 / 3), "c": pytest.approx(590 / 3)}
+    assert mixing.fair_targets({"a": 10, "b": 100, "c": 90}, {"a": 3, "b": 1, "c": 2}, 315) == {"a": 20.0, "b": 115.0, "c": 180.0}
     assert mixing.fair_targets({}, {}, 0) == {}
     assert mixing.fair_targets({"a": 0}, {"a": 1}, 0) == {"a": 0}
 
@@ -23,12 +29,43 @@ def brute_flow(offers, quotas, repeats):
     return best
 
 
+def small_instances():
+    some = random.Random(8)
+    for _ in range(60):
+        patterns = some.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "c"), ("a", "b", "c")], some.randint(1, 3))
+        yield {p: some.randint(0, 2) for p in patterns}, {s: some.randint(0, 3) for s in "abc"[: some.randint(1, 3)]}
+
+
+def test_flow_over_many_patterns():
+    some = random.Random(9)
+    names = [f"s{i}" for i in range(200)]
+    offers = {tuple(sorted(some.sample(names, some.randint(1, 4)))): some.randint(1, 1000) for _ in range(20_000)}
+    quotas = {s: some.randint(1, 300_000) for s in names}
+    flow = mixing.cheapest_flow(offers, quotas)
+    taken = {s: 0 for s in names}
+    for p, f in flow.items():
+        assert 0 <= sum(f.values()) <= 2 * offers[p] and min(f.values()) >= 0
+        for s, n in f.items():
+            taken[s] += n
+    assert all(taken[s] <= quotas[s] for s in names)
+    # largest: where a pattern could give more, all that its words could reach is full
+    open_ = {p for p in offers if sum(flow[p].values()) < 2 * offers[p]}
+    while True:
+        full = {s for p in open_ for s in p}
+        more = open_ | {p for p in offers if any(flow[p][s] > 0 for s in p if s in full)}
+        if more == open_:
+            break
+        open_ = more
+    assert all(taken[s] == quotas[s] for s in full)
+
+
 def test_flow_is_largest_and_cheapest():
     for offers, quotas in (
         ({("a",): 2, ("a", "b"): 2, ("b",): 1}, {"a": 4, "b": 3}),
         ({("a", "b"): 3, ("b", "c"): 1}, {"a": 2, "b": 3, "c": 4}),
         ({("a",): 1}, {"a": 5}),
         ({("a", "b"): 2, ("a",): 3}, {"a": 3, "b": 4}),
+        *small_instances(),
     ):
         flow = mixing.cheapest_flow(offers, quotas)
         given = {p: sum(f.values()) for p, f in flow.items()}
@@ -76,9 +113,59 @@ def test_mix_repeats_and_leaves_out_as_reported(spark, make_docs):
             assert times.get((doc, size), 0) * size == words
 
 
-def test_limits_against_sorting(spark):
-    import random
+def plain_mix(rows, seed=7):
+    """(id, size, source_size, target, taken) by sorting and running sums; rows of id, text, source."""
+    sizes = [len((t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ")) - (t or "").replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ").count("") for _, t, _ in rows]
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    held = {s: sum(n for n, r in zip(sizes, rows, strict=True) if r[2] == s) for s in names}
+    weight, target, open_ = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}, {}, list(names)
+    while open_:
+        unit = (1.5 * sum(held.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        over = [s for s in open_ if unit * weight[s] > 2 * held[s]]
+        target |= {s: float(2 * held[s]) for s in over} if over else {s: unit * weight[s] for s in open_}
+        open_ = [s for s in open_ if s not in over] if over else []
+    copies = [0] * len(rows)
+    for s in names:
+        gap = min(round(target[s]), 2 * held[s])
+        own = sorted((i for i, r in enumerate(rows) if r[2] == s), key=lambda i: spark_hash(int32(seed), rows[i][0], rows[i][1]) % (1 << 64))
+        if held[s]:
+            whole, gap = divmod(gap, held[s])
+            for i in own:
+                copies[i] = whole
+        picked = set()
+        while True:
+            fitting, sum_ = [i for i in own if i not in picked and 0 < sizes[i] <= gap], 0
+            for i in fitting:
+                if sum_ + sizes[i] > gap:
+                    break
+                sum_ += sizes[i]
+                picked.add(i)
+                copies[i] += 1
+            if not sum_:
+                break
+            gap -= sum_
+    return [(r[0], n, held[r[2]], target[r[2]], n * c) for r, n, c in zip(rows, sizes, copies, strict=True)]
+
+
+@pytest.mark.skipif(not HAS_TABLES, reason="needs the test tables")
+def test_query_against_a_plain_version(spark):
+    got = queries.op4_mix(spark, SF).select("doc_id", "size", "source_size", "target", "taken").collect()
+    expected = plain_mix(rows_of(spark, "documents", "doc_id", "text", "source"))
+    assert [tuple(r) for r in sorted(got)] == [(*e[:3], pytest.approx(e[3]), e[4]) for e in sorted(expected)]
+
+
+def test_documents_of_several_sources(spark, make_docs):
+    docs = make_docs([(i, "w " * (i % 40 + 1)) for i in range(400)]).withColumn("source", F.expr("case doc_id % 5 when 0 then array('a', 'b') when 1 then array('b') when 2 then array('b', 'a', 'a') when 3 then array('c') end"))
+    got = mix_sources.mix_report(docs).collect()
+    by = {}
+    for r in got:
+        key = (r["source_size"], r["target"])
+        by[key] = by.get(key, 0) + r["taken"]
+    total = 1.5 * sum(r["size"] for r in got)
+    assert len(by) == 4 and abs(sum(by.values()) - total) < 0.02 * total
 
+
+def test_limits_against_sorting(spark):
     rng = random.Random(3)
     data = [("p", rng.randint(1, 9), rng.getrandbits(64) - (1 << 63)) for _ in range(3000)] + [("q", 4, 17)]
     got = mixing._limits(spark.createDataFrame(data, "pattern string, size bigint, h bigint"), {"p": 5000, "q": 3}, spark)

@@ -2,14 +2,15 @@
 
 Handles nulls (a null source is a source, the last one; a null text has no words), empty texts (never
 picked as an extra copy, as they add nothing, but repeated with their whole source), repeated rows (each counts), equal
-sizes (the seeded hash decides; rows with one id and text go together) and empty tables (empty result).
+sizes (the seeded hash decides; rows with one id and text go together), very long texts (one that doesn't fit a gap is passed over) and empty tables (empty result).
+A source column that holds arrays puts a document in several sources (none: in the null source); its target is then the sum of theirs.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from textloom.llm import mixing
 from textloom.llm._common import recovery_point
@@ -18,8 +19,13 @@ from textloom.llm._common import recovery_point
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), 1.5, 2
 
 
-def _measured(docs: DataFrame, source_col: str, id_col: str, text_col: str, seed: int) -> DataFrame:
-    return mixing.measure(docs, F.array(source_col), mixing.words_of(F.col(text_col)), mixing.seeded_hash(seed, F.col(id_col), F.col(text_col)))
+def _measured(docs: DataFrame, source_col: str, id_col: str, text_col: str, seed: int, columns: list[str]) -> DataFrame:
+    """The named columns of ``docs`` as c0, c1, ..., with pattern, size and h."""
+    own = {c: f"c{i}" for i, c in enumerate(columns)}
+    several = isinstance(docs.schema[source_col].dataType, T.ArrayType)
+    sources = F.coalesce(F.col(own[source_col]), F.array(F.lit(None).cast("string"))) if several else F.array(own[source_col])
+    renamed = docs.select(*(F.col(f"`{c}`").alias(new) for c, new in own.items()))
+    return mixing.measure(renamed, sources, mixing.words_of(F.col(own[text_col])), mixing.seeded_hash(seed, F.col(own[id_col]), F.col(own[text_col])))
 
 
 def plan_for(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS):
@@ -45,10 +51,10 @@ def _plan_frame(spark, plan) -> DataFrame:
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target, taken (words, repeats counted)."""
-    sized = recovery_point(_measured(docs.select(id_col, source_col, text_col), source_col, id_col, text_col, seed).select(id_col, "pattern", "size", "h"))
+    sized = recovery_point(_measured(docs, source_col, id_col, text_col, seed, [id_col, source_col, text_col]).select("c0", "pattern", "size", "h"))
     plan = _plan_frame(docs.sparkSession, plan_for(sized))
     joined = sized.join(F.broadcast(plan), "pattern")
-    return joined.select(id_col, "size", F.col("pattern_size").alias("source_size"), "target", (F.col("size") * mixing.copies_taken("size", "h")).alias("taken"))
+    return joined.select(F.col("c0").alias(id_col), "size", F.col("pattern_size").alias("source_size"), "target", (F.col("size") * mixing.copies_taken("size", "h")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7) -> DataFrame:
@@ -56,14 +62,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     The plan is made on a narrow table; the texts are read once more and don't move between executors.
     """
-    prefix = "mix_"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    own = [F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(docs.columns)]
-    held = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns)}
-    measured = _measured(docs.select(*own), held[source_col], held[id_col], held[text_col], seed)
+    measured = _measured(docs, source_col, id_col, text_col, seed, docs.columns)
     sized = recovery_point(measured.select("pattern", "size", "h"))
     plan = _plan_frame(docs.sparkSession, plan_for(sized))
-    taken = measured.join(F.broadcast(plan), "pattern").withColumn("copy", F.explode(F.expr("sequence(1, 2)")))
+    taken = measured.join(F.broadcast(plan), "pattern").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
     taken = taken.where(F.col("copy") <= mixing.copies_taken("size", "h"))
-    return taken.select(*(F.col(new).alias(old) for old, new in held.items()))
+    return taken.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -9,12 +9,12 @@ each pattern repeats all its documents as often as that goes evenly and picks se
 Picking: each document has a seeded hash; those up to a limit are picked. The limit is
 found by histograms over the hash that narrow down to the document at which the running sum meets the
 rest, so no pattern, however large, is sorted or gathered in one task. What then is
-still missing is filled in the same way from documents no larger than the gap.
+still missing is filled in the same way from documents no larger than the gap, until no such document is left.
 """
 
 from __future__ import annotations
 
-import heapq
+from collections import deque
 from collections.abc import Mapping
 
 import pandas as pd
@@ -27,7 +27,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_PATTERNS = 100_000
 #: Hash bits that one histogram resolves; rows of a bin that are then ordered exactly.
 BITS, EXACT_ROWS = 12, 20_000
-FILLS = 4
 
 
 def fair_targets(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, repeats: int = 2) -> dict[str | None, float]:
@@ -48,57 +47,70 @@ def fair_targets(sizes: Mapping[str | None, int], weights: Mapping[str | None, f
 def cheapest_flow(offers: Mapping[tuple, int], quotas: Mapping[str | None, int], repeats: int = 2) -> dict[tuple, dict[str | None, int]]:
     """Words that each pattern gives to each of its sources: largest flow of least cost.
 
-    The r-th copy of a pattern's words costs r - 1 a word. Successive shortest paths with
-    potentials; ties go by the order of the inputs.
+    The r-th copy of a pattern's words costs r - 1 a word. Costs arise only where words leave the start, so a cheapest path never takes words
+    back from a pattern: the flow is largest and cheapest if it is largest with first copies only, then grows as far as second copies allow, and so on. Each
+    of these is a largest flow by blocking flows over shortest paths. Ties go by the order of the inputs.
     """
     patterns, sources = list(offers), list(quotas)
-    start, end = 0, 1 + len(patterns) + len(sources)
-    number = {s: 1 + len(patterns) + i for i, s in enumerate(sources)}
-    to, cap, cost, arcs = [], [], [], [[] for _ in range(end + 1)]
-
-    def arc(u: int, v: int, c: int, w: int) -> int:
-        for x, y, k, p in ((u, v, c, w), (v, u, 0, -w)):
-            arcs[x].append(len(to))
-            to.append(y)
-            cap.append(k)
-            cost.append(p)
-        return len(to) - 2
-
-    routes = {}
-    for i, p in enumerate(patterns, 1):
-        for r in range(repeats):
-            arc(start, i, offers[p], r)
-        for s in p:
-            if s in number:
-                routes[p, s] = arc(i, number[s], repeats * offers[p], 0)
-    for s in sources:
-        arc(number[s], end, quotas[s], 0)
-    height = [0] * (end + 1)
-    while True:
-        far, via = [None] * (end + 1), [-1] * (end + 1)
-        far[start], heap = 0, [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for e in arcs[u]:
-                step = d + cost[e] + height[u] - height[to[e]]
-                if cap[e] > 0 and (far[to[e]] is None or step < far[to[e]]):
-                    far[to[e]], via[to[e]] = step, e
-                    heapq.heappush(heap, (step, to[e]))
-        if far[end] is None:
-            break
-        for v, d in enumerate(far):
-            height[v] += d if d is not None else far[end]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
-    return {p: {s: cap[routes[p, s] ^ 1] for s in p if (p, s) in routes} for p in patterns}
+    number = {s: len(patterns) + i for i, s in enumerate(sources)}
+    routes = [[number[s] for s in p if s in number] for p in patterns]
+    given: list[dict[int, int]] = [dict.fromkeys(r, 0) for r in routes]
+    back: dict[int, list[int]] = {number[s]: [] for s in sources}
+    for i, r in enumerate(routes):
+        for s in r:
+            back[s].append(i)
+    room = {number[s]: quotas[s] for s in sources}
+    left = [0] * len(patterns)
+
+    def levels() -> dict[int, int]:
+        """Steps from a pattern with words left, over routes and back over what was given."""
+        depth = {i: 0 for i, n in enumerate(left) if n > 0}
+        queue = deque(depth)
+        while queue:
+            u = queue.popleft()
+            for v in routes[u] if u < len(patterns) else (p for p in back[u] if given[p][u] > 0):
+                if v not in depth:
+                    depth[v] = depth[u] + 1
+                    queue.append(v)
+        return depth
+
+    def push(i: int, depth: dict[int, int], arcs: dict[int, list[int]]) -> int:
+        """Send words of pattern i to a source with room; 0 if that can't be done any more on shortest paths."""
+        path = [i]
+        while path:
+            u = path[-1]
+            if u >= len(patterns) and room[u] > 0:
+                amount = min(left[i], room[u], *(given[v][w] for w, v in zip(path[1::2], path[2::2], strict=False)))
+                left[i] -= amount
+                room[u] -= amount
+                for a, b in zip(path, path[1:], strict=False):
+                    if a < len(patterns):
+                        given[a][b] += amount
+                    else:
+                        given[b][a] -= amount
+                return amount
+            if u not in arcs:
+                arcs[u] = [v for v in (routes[u] if u < len(patterns) else back[u]) if depth.get(v) == depth[u] + 1][::-1]
+            while arcs[u] and u >= len(patterns) and given[arcs[u][-1]][u] == 0:
+                arcs[u].pop()
+            if arcs[u]:
+                path.append(arcs[u][-1])
+            else:
+                path.pop()
+                if path:
+                    arcs[path[-1]].pop()
+        return 0
+
+    for _ in range(repeats):
+        left = [n + offers[p] for n, p in zip(left, patterns, strict=True)]
+        while True:
+            depth, arcs, moved = levels(), {}, 0
+            for i in [i for i, n in enumerate(left) if n > 0]:
+                while left[i] > 0 and (amount := push(i, depth, arcs)):
+                    moved += amount
+            if not moved:
+                break
+    return {p: {s: given[i][number[s]] for s in p if s in number} for i, p in enumerate(patterns)}
 
 
 def pattern_of(sources: Column) -> Column:
@@ -153,39 +165,39 @@ def _limits(rows: DataFrame, need: dict[str, int], spark) -> dict[str, tuple[int
         at = {p: at[p] for p in crossing}
         if largest <= EXACT_ROWS or done >= 60:
             now = spark.createDataFrame(pd.DataFrame({"pattern": list(at), "room": [need[p] - at[p] for p in at]}))
-            frame = Window.partitionBy("pattern").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)
-            last = rows.join(F.broadcast(now), "pattern").withColumn("key", _key_order("h")).withColumn("upto", F.sum("size").over(frame)).where("upto <= room")
+            # Equal hashes go together and are summed first: the window holds at most EXACT_ROWS rows, or a last bin's few hashes, of a pattern.
+            once = rows.join(F.broadcast(now), "pattern").groupBy("pattern", _key_order("h").alias("key")).agg(F.sum("size").alias("size"), F.first("room").alias("room"))
+            frame = Window.partitionBy("pattern").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+            last = once.withColumn("upto", F.sum("size").over(frame)).where("upto <= room")
             for r in last.groupBy("pattern").agg(F.max("upto").alias("sum"), F.max("key").alias("key")).collect():
                 found[r["pattern"]] = (r["key"], at[r["pattern"]] + r["sum"])
             break
     return found
 
 
-def plan_mix(sized: DataFrame, amounts: Mapping[str, tuple[int, int]], fills: int = FILLS) -> pd.DataFrame:
+def plan_mix(sized: DataFrame, amounts: Mapping[str, tuple[int, int]]) -> pd.DataFrame:
     """How to pick: for each pattern ``whole`` copies of all its documents, and one more of those by ``rules``.
 
     ``sized(pattern, size, h)`` should be cheap to read again. ``amounts``: pattern -> (its words, words to take).
-    A rule (most, key) picks documents of at most ``most`` words whose order key is at most ``key``.
+    A rule (most, key) picks documents of at most ``most`` words whose order key is at most ``key``. Each round leaves a gap smaller than the one before, or
+    no document that fits; what is left to look at is written down in between, so plans stay short.
     """
     spark = sized.sparkSession
     whole = {p: (take // size if size else 0) for p, (size, take) in amounts.items()}
     gap = {p: take - whole[p] * size for p, (size, take) in amounts.items()}
     rules: dict[str, list[tuple[int, int]]] = {p: [] for p in amounts}
-    left, most = sized.where("size > 0"), dict(gap)
-    for _ in range(fills):
-        most = {p: g for p, g in gap.items() if g > 0}
-        if not most:
-            break
+    left = sized.where("size > 0")
+    while most := {p: g for p, g in gap.items() if g > 0}:
         bound = spark.createDataFrame(pd.DataFrame({"pattern": list(most), "most": list(most.values())}))
-        fitting = left.join(F.broadcast(bound), "pattern").where("size <= most").drop("most")
-        limits = _limits(fitting, most, spark)
+        left = recovery_point(left.join(F.broadcast(bound), "pattern").where("size <= most").drop("most"))
+        limits = _limits(left, most, spark)
         if not limits:
             break
         for p, (key, total) in limits.items():
             rules[p].append((most[p], key))
             gap[p] -= total
-        done = spark.createDataFrame(pd.DataFrame({"pattern": list(limits), "most": [most[p] for p in limits], "key": [k for k, _ in limits.values()]}))
-        left = left.join(F.broadcast(done), "pattern", "left").where((F.col("key").isNull()) | (F.col("size") > F.col("most")) | (_key_order("h") > F.col("key"))).drop("most", "key")
+        done = spark.createDataFrame(pd.DataFrame({"pattern": list(limits), "key": [k for k, _ in limits.values()]}))
+        left = left.join(F.broadcast(done), "pattern").where(_key_order("h") > F.col("key")).drop("key")
     return pd.DataFrame({"pattern": list(amounts), "whole": [whole[p] for p in amounts], "rules": [[{"most": int(m), "key": int(k)} for m, k in rules[p]] for p in amounts]})
 
 
@@ -204,7 +216,7 @@ def seeded_hash(seed: int, *columns: Column) -> Column:
 
 
 def measure(docs: DataFrame, sources: Column, size: Column, order: Column) -> DataFrame:
-    """``docs`` with pattern, size and h in front of its own columns' names (docs must not have these)."""
+    """``docs`` with pattern, size and h appended; give it columns of other names."""
     return docs.select("*", pattern_of(sources).alias("pattern"), size.alias("size"), order.alias("h"))
 
 
