@@ -59,11 +59,14 @@ def test_posting_lists_and_what_they_answer(spark):
     expected = {(g, i) for g in secrets.vocabulary() for i, t in enumerate(TEXTS) if g in (t or "").lower()}
     assert {(r["trigram"], by_hash[r["text_hash"]]) for r in lists.collect()} == expected
     queries = [secrets.trigram_query(r.pattern) for r in secrets.RULES] + [("or", ("abc", ("and", ("tok", "ken"))))]
-    lists = secrets.posting_lists(df, rules=(*secrets.RULES, secrets.Rule("x", "abc|token")))
-    got = {by_hash[r["text_hash"]]: r["met"] for r in secrets.ask(lists, queries).collect()}
+    rules = (*secrets.RULES, secrets.Rule("x", "abc|token"))
+    grams = secrets.vocabulary(rules)
+    lists = secrets.posting_lists(df, rules=rules)
+    assert all(grams[r["number"]] == r["trigram"] for r in lists.collect())
+    got = {by_hash[r["text_hash"]]: r["met"] for r in secrets.ask(lists, queries, grams).collect()}
     for i, t in enumerate(TEXTS):
         assert got.get(i, []) == [n for n, q in enumerate(queries) if q is not True and met(q, (t or "").lower())]
-    assert secrets.ask(lists, [True]).count() == 0
+    assert secrets.ask(lists, [True], grams).count() == 0
 
 
 def test_empty(spark):

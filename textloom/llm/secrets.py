@@ -149,11 +149,22 @@ def vocabulary(rules: tuple[Rule, ...] = RULES) -> list[str]:
     return sorted(set().union(*(trigrams_of(trigram_query(r.pattern)) for r in rules)))
 
 
+def _sum(columns: list[Column]) -> Column:
+    while len(columns) > 1:
+        columns = [a + b for a, b in zip(columns[::2], columns[1::2], strict=False)] + columns[len(columns) & ~1 :]
+    return columns[0]
+
+
 def posting_lists(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The index as a table (trigram, text_hash): the texts that hold the trigram, by their xxhash64. A text without any isn't listed."""
-    low = F.lower(text_col)
-    found = F.filter(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in vocabulary(rules))), lambda g: g.isNotNull())
-    return docs.select(F.xxhash64(text_col).alias("text_hash"), F.explode(found).alias("trigram")).select("trigram", "text_hash")
+    """The index as a table (trigram, number, text_hash): the texts, by their xxhash64, that hold the trigram of that number in ``vocabulary``. A text without any isn't listed."""
+    grams = vocabulary(rules)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # Bits in words of WORD_BITS are computed in one projection, where the lower-cased text is shared; only then are they made rows.
+    held = lambda g, i: F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+    words = [_sum([held(g, i) for i, g in enumerate(grams[at : at + WORD_BITS])]) for at in range(0, len(grams), WORD_BITS)] or [F.lit(0).cast("bigint")]
+    marked = docs.select(F.xxhash64(text_col).alias("text_hash"), F.array(*words).alias("words"))
+    numbers = F.expr(f"filter(sequence(0, {max(1, len(grams)) - 1}), i -> getbit(words[i div {WORD_BITS}], i % {WORD_BITS}) = 1)")
+    return marked.select("text_hash", F.explode(numbers).alias("number")).select(F.element_at(F.lit(grams or [""]), F.col("number") + 1).alias("trigram"), "number", "text_hash")
 
 
 def _met(words: list[Column], query: object, grams: list[str]) -> Column:
@@ -176,20 +187,18 @@ def _met(words: list[Column], query: object, grams: list[str]) -> Column:
     return out
 
 
-def ask(lists: DataFrame, queries: list[object]) -> DataFrame:
+def ask(lists: DataFrame, queries: list[object], grams: list[str]) -> DataFrame:
     """``(text_hash, met)``: for each text that meets one of the queries, the numbers of those it meets. Queries that are True have no list and aren't reported.
 
-    One shuffle for all queries: the lists are merged by text, after each task has merged its own part.
+    ``grams``: the vocabulary that numbers the lists. One shuffle for all queries: the lists are merged by text, after each task has merged its own part.
     """
-    grams = sorted(set().union(*map(trigrams_of, queries)))
     asked = [(n, q) for n, q in enumerate(queries) if q is not True]
-    places = {g: divmod(i, WORD_BITS) for i, g in enumerate(grams)}
-    none = F.array().cast("array<int>")
     if not asked:
-        return lists.groupBy("text_hash").agg(F.first(none).alias("met")).limit(0)
-    bit = lambda w: F.coalesce(*(F.when(F.col("trigram") == g, F.lit(1 << i)) for g, (word, i) in places.items() if word == w), F.lit(0)).cast("bigint")
-    merged = lists.groupBy("text_hash").agg(*(F.bit_or(bit(w)).alias(f"w{w}") for w in range(-(-len(grams) // WORD_BITS))))
-    words = [F.col(f"w{w}") for w in range(-(-len(grams) // WORD_BITS))]
+        return lists.groupBy("text_hash").agg(F.first(F.array().cast("array<int>")).alias("met")).limit(0)
+    width = -(-len(grams) // WORD_BITS)
+    bit = lambda w: F.expr(f"if(number div {WORD_BITS} = {w}, shiftleft(1L, number % {WORD_BITS}), 0L)")
+    merged = lists.groupBy("text_hash").agg(*(F.bit_or(bit(w)).alias(f"w{w}") for w in range(width)))
+    words = [F.col(f"w{w}") for w in range(width)]
     met = F.filter(F.array(*(F.when(_met(words, q, grams), F.lit(n)) for n, q in asked)), lambda n: n.isNotNull())
     return merged.select("text_hash", met.alias("met")).where(F.size("met") > 0)
 
@@ -222,7 +231,7 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     all kept, in the rules' order; rows are independent of each other, so repeated rows repeat. ``name`` gets an underscore if ``docs`` has it. An empty table gives an empty result.
     """
     queries = [trigram_query(r.pattern) for r in rules]
-    found = recovery_point(ask(posting_lists(docs, text_col, rules), queries))
+    found = recovery_point(ask(posting_lists(docs, text_col, rules), queries, vocabulary(rules)))
     own, met = free_name(docs, name), free_name(docs, "met")
     joined = docs.alias("a").join(bounded(found, MOST_KEYS).alias("b"), F.xxhash64(F.col(f"a.`{text_col}`")) == F.col("b.text_hash"), "left")
     out = joined.select(*(F.col(f"a.`{c}`") for c in docs.columns), F.col("b.met").alias(met))
