@@ -43,7 +43,7 @@ def _matching(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how:
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id and text's hash aren't among ``keys(id, tie)``, a recovery point. Texts don't move while the keys are few."""
+    """The rows of ``docs`` whose id and text's hash aren't among ``keys(id, tie)``, of a recovery point. Texts don't move while the keys are few."""
     return _matching(docs, keys, id_col, text_col, "left_anti")
 
 
@@ -55,9 +55,10 @@ def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str)
     """
     keys = members.groupBy("root", "id", "tie").agg(F.count(F.lit(1)).alias("n"))
     first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie")).alias("first"))
-    judged = recovery_point(join_hot(keys, first, "root", members).withColumn("stays", F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))).where("n > 1 or not stays"))
-    left = without(docs, recovery_point(judged.where("not stays").select("id", "tie")), id_col, text_col)
-    repeated = recovery_point(judged.where("stays").select("id", "tie"))
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
+    judged = recovery_point(join_hot(keys, first, "root", members).select("id", "tie", "n", stays.alias("stays")).where("n > 1 or not stays"))
+    left = without(docs, judged.where("not stays").select("id", "tie"), id_col, text_col)
+    repeated = judged.where("stays").select("id", "tie")
     if repeated.isEmpty():
         return left
     whole = _matching(left, repeated, id_col, text_col, "left_semi").select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).alias("row"))
@@ -72,13 +73,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: DataFrame | None
     Keys with over 1 / (8 * width) of the rows (of ``rows``, else of ``left``: a recovery point) are fewer than 8 * width: their part of ``right`` is
     broadcast, and their rows stay where they are. The others are joined by a shuffle.
     """
-    rows = left if rows is None else rows
+    rows, kind = left if rows is None else rows, left.schema[key].dataType.simpleString()
     most = max(1, rows.count() // (8 * shuffle_width(left.sparkSession)))
-    hot = recovery_point(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key))
-    if hot.isEmpty():
+    hot = [tuple(r) for r in rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(key).collect()]
+    if not hot:
         return left.join(right, key)
-    few = recovery_point(right.join(F.broadcast(hot), key, "left_semi"))
-    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+    keys = F.broadcast(left.sparkSession.createDataFrame(hot, f"{key} {kind}"))
+    return left.join(F.broadcast(right.join(keys, key, "left_semi")), key).unionByName(left.join(keys, key, "left_anti").join(right, key))
 
 
 def free_name(df: DataFrame, base: str) -> str:
