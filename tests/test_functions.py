@@ -150,3 +150,18 @@ def test_no_pattern_takes_long_on_adversarial_texts(spark):
             began = time.time()
             df.select(F.sum(F.regexp_count(source, F.lit(p)))).collect()
             assert time.time() - began < 10, p
+
+
+def test_classes_of_unicode_are_an_option(spark):
+    said = "dated as of January\u00a05,\u00a02015 under the laws\u00a0of the State\u00a0of New\u00a0York"
+    df = spark.createDataFrame([(said,)], "t string")
+    assert df.select(dates.extract_date(F.col("t"))).first()[0] is None
+    with text.unicode_classes():
+        row = df.select(dates.extract_date(F.col("t")), F.size(location.fragments("agreement date", F.col("t"))), F.size(location.fragments("governing law", F.col("t")))).first()
+    assert tuple(row) == ("1/5/15", 1, 1)
+    assert df.select(dates.extract_date(F.col("t"))).first()[0] is None
+
+
+def test_titles_in_the_body_pass_carriage_returns(spark):
+    said = "12\n" + "this supply\ragreement is made between the parties"
+    assert spark.createDataFrame([(said,)], "t string").select(titles.located_title(F.col("t"))).first()[0] == ["SUPPLY\rAGREEMENT"]

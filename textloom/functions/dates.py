@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from textloom.functions.text import first_of, let, or_null
+from textloom.functions.text import extract, first_of, let, or_null
 
-# Month names and the date patterns, in order of priority.
-_MON = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+# Months by the first letters of their names, and the date patterns, in order of priority.
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+_MON = "|".join(MONTHS)
 ORDINAL = rf"(?i)\b(\d{{1,2}})(?:st|nd|rd|th)?\s+day\s+of\s+({_MON})[a-z]*\.?,?\s*(\d{{4}})\b"
 LONG = rf"(?i)\b({_MON})[a-z]*\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\s*,?\s*(\d{{4}})\b"
 DAY_MONTH = rf"(?i)\b(\d{{1,2}})\s*(?:st|nd|rd|th|t\s*h)?\s*(?:day\s+of\s+)?({_MON})[a-z]*\.?,?\s*(\d{{4}})\b"
@@ -17,7 +18,7 @@ FIRST_DATE = rf"(?i)((?:{_MON})[a-z]*\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s*\d{{4}}
 
 def month_number(name: Column) -> Column:
     """1 to 12 by the first three letters."""
-    return ((F.instr(F.lit(_MON), F.lower(F.left(name, F.lit(3)))) + 3) / 4).cast("int")
+    return F.create_map(*(F.lit(x) for pair in MONTHS.items() for x in pair))[F.lower(F.left(name, F.lit(3)))]
 
 
 def written(month: Column, day: Column, year: Column) -> Column:
@@ -26,7 +27,7 @@ def written(month: Column, day: Column, year: Column) -> Column:
 
 
 def _part(found: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(found, pattern, group)
+    return extract(found, pattern, group)
 
 
 def _number(found: Column, pattern: str, group: int) -> Column:
@@ -50,10 +51,10 @@ def extract_date(text: Column) -> Column:
         return F.when(found.isNotNull(), let(parts, ordered))
 
     named = [
-        let(or_null(F.regexp_extract(text, ORDINAL, 0)), lambda m: by_name(m, ORDINAL, 1, 2)),
-        let(or_null(F.regexp_extract(text, LONG, 0)), lambda m: by_name(m, LONG, 2, 1)),
-        let(or_null(F.regexp_extract(text, DAY_MONTH, 0)), lambda m: by_name(m, DAY_MONTH, 1, 2)),
-        let(or_null(F.regexp_extract(text, SLASHES, 0)), by_slashes),
+        let(or_null(extract(text, ORDINAL, 0)), lambda m: by_name(m, ORDINAL, 1, 2)),
+        let(or_null(extract(text, LONG, 0)), lambda m: by_name(m, LONG, 2, 1)),
+        let(or_null(extract(text, DAY_MONTH, 0)), lambda m: by_name(m, DAY_MONTH, 1, 2)),
+        let(or_null(extract(text, SLASHES, 0)), by_slashes),
     ]
     return F.coalesce(*named)
 
@@ -64,4 +65,4 @@ def rule_date(fragments: Column) -> Column:
 
 def naive_date(text: Column) -> Column:
     """The date at the first place where one is written."""
-    return extract_date(or_null(F.regexp_extract(text, FIRST_DATE, 1)))
+    return extract_date(or_null(extract(text, FIRST_DATE, 1)))

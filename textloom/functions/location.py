@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from textloom.functions.text import matches, strip
+from textloom.functions.text import extract_all, matches, strip
 from textloom.functions.titles import located_title
 
 # Sizes in characters, and the anchors in their order.
@@ -80,7 +80,7 @@ def effective_date(text: Column) -> Column:
 
 def parties(text: Column) -> Column:
     """What stands between the parties' introduction and the recitals, and the preamble."""
-    said = F.filter(F.regexp_extract_all(front(text), F.lit(BETWEEN), F.lit(1)), lambda p: F.length(strip(p)) >= 30)
+    said = F.filter(extract_all(front(text), BETWEEN, 1), lambda p: F.length(strip(p)) >= 30)
     return F.concat(said, F.array(F.left(text, F.lit(PREAMBLE))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from textloom.functions.dates import extract_date, written
-from textloom.functions.text import first_of, let, matches, or_null
+from textloom.functions.text import extract, first_of, has, let, matches, or_null, split
 
 # Number words, the shapes of a term, days of a unit, and the words near which a term counts.
 NUMBERS = {
@@ -27,7 +27,7 @@ def number_map() -> Column:
 
 def _count(found: Column, pattern: str) -> Column:
     """Digits in parentheses, else digits, else the number word; null if unknown."""
-    part = lambda g: or_null(F.regexp_extract(found, pattern, g))
+    part = lambda g: or_null(extract(found, pattern, g))
     return F.coalesce(F.coalesce(part(3), part(1)).try_cast("bigint"), number_map()[F.lower(part(2))].cast("bigint"))
 
 
@@ -37,7 +37,7 @@ def _said(n: Column, unit: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """All terms with a known number other than zero: an array of (start, unit, said), in text order."""
-    read = F.transform(matches(text, TERM), lambda m: F.struct(m["start"].alias("start"), F.lower(F.regexp_extract(m["found"], TERM, 4)).alias("unit"), _count(m["found"], TERM).alias("n")))
+    read = F.transform(matches(text, TERM), lambda m: F.struct(m["start"].alias("start"), F.lower(extract(m["found"], TERM, 4)).alias("unit"), _count(m["found"], TERM).alias("n")))
     known = F.filter(read, lambda t: t["n"].isNotNull() & (t["n"] != 0))
     return F.transform(known, lambda t: F.struct(t["start"].alias("start"), t["unit"].alias("unit"), _said(t["n"], t["unit"]).alias("said")))
 
@@ -61,7 +61,7 @@ def term_near(text: Column, units: tuple[str, ...], words: tuple[str, ...], wind
 
 def rule_renewal(fragments: Column) -> Column:
     def one(f: Column) -> Column:
-        return F.when(f.rlike(r"(?i)\bperpetual\b"), F.lit("perpetual")).otherwise(F.coalesce(term_near(f, ("year", "month"), RENEWAL_WORDS), term_in(f, "year", "month")))
+        return F.when(has(f, r"(?i)\bperpetual\b"), F.lit("perpetual")).otherwise(F.coalesce(term_near(f, ("year", "month"), RENEWAL_WORDS), term_in(f, "year", "month")))
 
     return first_of(fragments, one)
 
@@ -84,14 +84,14 @@ def rule_expiration(fragments: Column, effective: Column) -> Column:
 
     def ended(x: Column) -> Column:
         """x: text, found (its term), month, day, year of the effective date."""
-        return let(F.struct(_count_or_word(x["found"]).alias("n"), F.lower(F.regexp_extract(x["found"], TERM_OF, 4)).alias("unit")), lambda t: F.when(t["n"].isNotNull() & (t["n"] != 0), _moved(x, t)).otherwise(extract_date(x["text"])))
+        return let(F.struct(_count_or_word(x["found"]).alias("n"), F.lower(extract(x["found"], TERM_OF, 4)).alias("unit")), lambda t: F.when(t["n"].isNotNull() & (t["n"] != 0), _moved(x, t)).otherwise(extract_date(x["text"])))
 
     def at(i: int) -> Column:
-        return F.get(F.split(effective, "/"), F.lit(i)).try_cast("int")
+        return F.get(split(effective, "/"), F.lit(i)).try_cast("int")
 
     def whole(text: Column) -> Column:
-        parts = F.struct(text.alias("text"), or_null(F.regexp_extract(text, TERM_OF, 0)).alias("found"), at(0).alias("month"), at(1).alias("day"), at(2).alias("year"))
-        calendar = text.rlike(r"(?i)end of the (?:then[- ])?current calendar year")
+        parts = F.struct(text.alias("text"), or_null(extract(text, TERM_OF, 0)).alias("found"), at(0).alias("month"), at(1).alias("day"), at(2).alias("year"))
+        calendar = has(text, r"(?i)end of the (?:then[- ])?current calendar year")
         known = effective.isNotNull() & (effective != "")
         return F.when(known & calendar, F.format_string("12/31/%02d", at(2))).when(known, let(parts, ended)).otherwise(extract_date(text))
 
@@ -113,7 +113,7 @@ def _moved(x: Column, t: Column) -> Column:
 
 def _count_or_word(found: Column) -> Column:
     """As ``_count``, but digits that say zero leave the word a chance."""
-    part = lambda g: or_null(F.regexp_extract(found, TERM_OF, g))
+    part = lambda g: or_null(extract(found, TERM_OF, g))
     digits = F.coalesce(part(3), part(1)).try_cast("bigint")
     return F.coalesce(F.nullif(digits, F.lit(0).cast("bigint")), number_map()[F.lower(part(2))].cast("bigint"))
 
@@ -122,5 +122,5 @@ def to_days(text: Column) -> Column:
     """Days of the first "number unit" with digits; a year has 365, a month 30."""
     pattern = r"(?i)\b(\d+)\s*(day|week|month|year)s?\b"
     days = F.create_map(*(F.lit(x) for pair in DAYS.items() for x in pair))
-    n = or_null(F.regexp_extract(text, pattern, 1)).try_cast("bigint")
-    return n * days[F.lower(or_null(F.regexp_extract(text, pattern, 2)))]
+    n = or_null(extract(text, pattern, 1)).try_cast("bigint")
+    return n * days[F.lower(or_null(extract(text, pattern, 2)))]

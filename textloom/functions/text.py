@@ -1,11 +1,16 @@
 """Text functions shared by all others.
 
 Regular expressions are ASCII (\\w, \\s, \\b), and with (?d) only a line feed ends a line, so results agree with SQL engines that use RE2.
+Columns built inside ``with unicode_classes():`` read these classes as Unicode does: a no-break space is white space there.
 Places are code points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, functions as F
 
 # Window width and stride in characters, the shape of a word, and words that say nothing.
@@ -21,6 +26,43 @@ agreement party parties section article exhibit schedule date dates day days""".
 )
 
 
+_UNICODE = ContextVar("unicode_classes", default=False)
+
+
+@contextmanager
+def unicode_classes() -> Iterator[None]:
+    """Character classes of the expressions built inside are Unicode's."""
+    before = _UNICODE.set(True)
+    try:
+        yield
+    finally:
+        _UNICODE.reset(before)
+
+
+def rx(pattern: str) -> str:
+    return "(?U)" + pattern if _UNICODE.get() else pattern
+
+
+def extract(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(text, rx(pattern), group)
+
+
+def extract_all(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(rx(pattern)), F.lit(group))
+
+
+def replace(text: Column, pattern: str, by: str) -> Column:
+    return F.regexp_replace(text, rx(pattern), by)
+
+
+def split(text: Column, pattern: str, limit: int = -1) -> Column:
+    return F.split(text, rx(pattern), limit)
+
+
+def has(text: Column, pattern: str) -> Column:
+    return text.rlike(rx(pattern))
+
+
 def let(value: Column, f) -> Column:
     """f of a value that is computed once, however often f uses it (a repeated expression is repeated in the generated code)."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -28,11 +70,11 @@ def let(value: Column, f) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at both ends (``trim`` knows spaces only)."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return replace(text, r"^\s+|\s+$", "")
 
 
 def squeeze(text: Column) -> Column:
-    return strip(F.regexp_replace(text, r"\s+", " "))
+    return strip(replace(text, r"\s+", " "))
 
 
 def or_null(text: Column) -> Column:
@@ -42,22 +84,22 @@ def or_null(text: Column) -> Column:
 
 def key_of(name: Column) -> Column:
     """A category's key: lower case, letters, digits and spaces only."""
-    return F.trim(F.regexp_replace(F.lower(name), r"[^\p{L}\p{N} ]", ""))
+    return F.trim(replace(F.lower(name), r"[^\p{L}\p{N} ]", ""))
 
 
 def stem(name: Column) -> Column:
     """A file name without .pdf, in either case."""
-    return F.regexp_replace(name, r"(?i)\.pdf$", "")
+    return replace(name, r"(?i)\.pdf$", "")
 
 
 def strip_prefix(value: Column) -> Column:
     """A cell without its leading ``Label:``."""
-    return strip(F.regexp_replace(value, r"^[A-Za-z ()incl.]+:\s*", ""))
+    return strip(replace(value, r"^[A-Za-z ()incl.]+:\s*", ""))
 
 
 def word_set(text: Column) -> Column:
     """Distinct words of three letters and more, in lower case, without stop words."""
-    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.lit(list(STOP_WORDS)))
+    return F.array_except(extract_all(F.lower(text), WORD, 0), F.lit(list(STOP_WORDS)))
 
 
 def window_starts(text: Column) -> Column:
@@ -79,11 +121,11 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))).alias("out"))
 
     def placed(found: Column) -> Column:
-        parts = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        parts = F.slice(split(text, pattern, -1), F.lit(1), F.size(found))
         zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
         return F.when(F.size(found) == 0, none).otherwise(F.aggregate(F.arrays_zip(found.alias("found"), parts.alias("part")), zero, step, lambda acc: acc["out"]))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+    return let(extract_all(text, pattern, 0), placed)
 
 
 def first_of(items: Column, f) -> Column:

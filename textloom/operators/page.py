@@ -9,7 +9,11 @@ from textloom.functions.text import matches
 
 # Characters of a text that a page carries, and the dates that it highlights.
 MAX_TEXT = 60_000
-ANY_DATE = dates.FIRST_DATE.removesuffix(")") + r"|\d{1,2}\s*(?:st|nd|rd|th|t\s*h)?\s+day\s+of\s+[A-Za-z]+,?\s*\d{4})"
+ANY_DATE = (
+    r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}"
+    r"|\d{1,2}/\d{1,2}/\d{2,4}"
+    r"|\d{1,2}\s*(?:st|nd|rd|th|t\s*h)?\s+day\s+of\s+[A-Za-z]+,?\s*\d{4})"
+)
 
 
 def value_range(category: str, text: Column, value: Column) -> Column:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (``spark.checkpoint.dir``; a temporary one only where none is set)."""
+    """``df`` written to the session's checkpoint folder (``spark.checkpoint.dir``; where none is set, a temporary one in local mode and an error on a cluster)."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="textloom-"))
     return df.checkpoint(eager=True)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from textloom.functions.text import key_of, strip_prefix
+from textloom.functions.text import strip_prefix
 
 # The measures that a category needs, and the decision which category is handled how.
 MIN_RULE, MIN_BALANCED, MIN_RECALL, EXPECTED = 65.0, 70.0, 70.0, 41
@@ -45,10 +45,21 @@ def validate(table: DataFrame) -> DataFrame:
 def decide(rules: DataFrame, presence: DataFrame, baselines: DataFrame) -> DataFrame:
     """``rules(category, measure)``, ``presence(category, balanced, recall)``, ``baselines(category, naive, product)`` -> (category, engine, measure, recall, naive, in_scope).
 
-    A rule needs 65, a presence category 70 in balanced accuracy and in recall; neither may be known to do no better than its naive baseline. Baselines match by key.
+    A rule needs 65, a presence category 70 in balanced accuracy and in recall; neither may be known to do no better than its naive baseline. Baselines match by the exact name: one of another
+    spelling is unknown, and what is unknown passes.
     """
     one = rules.select("category", F.lit("rule").alias("engine"), F.col("measure").cast("double").alias("measure"), F.lit(None).cast("double").alias("recall"), (F.col("measure") >= MIN_RULE).alias("good"))
     two = presence.select("category", F.lit("presence").alias("engine"), F.col("balanced").cast("double").alias("measure"), F.col("recall").cast("double").alias("recall"), ((F.col("balanced") >= MIN_BALANCED) & (F.col("recall") >= MIN_RECALL)).alias("good"))
-    known = baselines.select(key_of(F.col("category")).alias("_key"), F.col("naive").cast("double").alias("naive"), F.col("product").cast("double").alias("product"))
-    met = one.unionByName(two).withColumn("_key", key_of(F.col("category"))).join(F.broadcast(known), "_key", "left")
+    known = baselines.select("category", F.col("naive").cast("double").alias("naive"), F.col("product").cast("double").alias("product"))
+    met = one.unionByName(two).join(F.broadcast(known), "category", "left")
     return met.select("category", "engine", "measure", "recall", "naive", (F.col("good") & F.coalesce(F.col("product") > F.col("naive"), F.lit(True))).alias("in_scope"))
+
+
+def ordered(decided: DataFrame) -> DataFrame:
+    """Those in scope first, each list by its measure from the highest; ties by name."""
+    return decided.orderBy(F.desc("in_scope"), F.desc("measure"), "category")
+
+
+def config(spark: SparkSession, path: str) -> DataFrame:
+    """The category table as ``writers.categories_files`` writes it (JSON records with optional attributes), attributes that a category lacks being null."""
+    return spark.read.option("multiLine", True).json(path)

@@ -561,7 +561,7 @@ def _values(rows: list[tuple]) -> str:
 @query(
     f"""with rules(category, measure) as (select * from {_values(_RULES)}), presence(category, balanced, recall) as (select * from {_values(_PRESENCE)}), base(category, naive, product) as (select * from {_values(_BASE)}),
     met as (select category, 'rule' as engine, measure, null::double as recall, measure >= 65 as good from rules union all select category, 'presence', balanced, recall, balanced >= 70 and recall >= 70 from presence)
-    select met.category, engine, measure, recall, naive, good and coalesce(product > naive, true) as in_scope from met left join base on lower(met.category) = lower(base.category)"""
+    select met.category, engine, measure, recall, naive, good and coalesce(product > naive, true) as in_scope from met left join base on met.category = base.category"""
 )
 def scope_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12, P14, J6 to J8, U2."""
