@@ -48,6 +48,19 @@ def test_planted_near_copies_are_all_found(make_docs):
     assert len(kept) + 40 < simhash.deduplicate(make_docs(rows)).count()
 
 
+def test_crowd_around_a_base(make_docs, monkeypatch):
+    # One text, copies with few and with many edits, and texts that only share a passage with it.
+    monkeypatch.setattr(near_copies, "CROWD", 3)
+    some = random.Random(6)
+    word = lambda: "".join(some.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = [base] + [[word() if i in set(some.sample(range(150), edits)) else w for i, w in enumerate(base)] for edits in range(1, 9) for _ in range(8)]
+    texts += [[word() for _ in range(some.randint(20, 60))] + base[30:90] + [word() for _ in range(40)] for _ in range(40)]
+    some.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()) == kept_by_brute_force(rows)
+
+
 def test_crowd_of_texts_that_are_not_copies(make_docs, monkeypatch):
     # All texts meet in every key, and few of them are similar.
     monkeypatch.setattr(near_copies, "band_keys", lambda h: np.arange(near_copies.BANDS, dtype=np.uint64))
