@@ -87,6 +87,11 @@ def key_of(name: Column) -> Column:
     return F.trim(replace(F.lower(name), r"[^\p{L}\p{N} ]", ""))
 
 
+def plain_key(name: str) -> str:
+    """``key_of`` for a name on the driver."""
+    return "".join(c for c in name.lower() if c.isalnum() or c == " ").strip()
+
+
 def stem(name: Column) -> Column:
     """A file name without .pdf, in either case."""
     return replace(name, r"(?i)\.pdf$", "")

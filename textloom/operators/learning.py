@@ -22,10 +22,14 @@ def split_by_name(names: DataFrame, name: str = "name") -> DataFrame:
 
 
 def document_frequency(train: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
-    """``train(name, text)`` and ``labels(name, category, label)`` -> (category, term, with_clause, without_clause)."""
-    words = train.select("name", F.explode(word_set(F.col(text_col))).alias("term"))
-    hit = F.col("label").cast("int")
-    return words.join(labels, "name").groupBy("category", "term").agg(F.sum(hit).cast("bigint").alias("with_clause"), F.sum(1 - hit).cast("bigint").alias("without_clause"))
+    """``train(name, text)`` and ``labels(name, category, label)`` -> (category, term, with_clause, without_clause).
+
+    Labels join whole documents, before these become words: a document moves once, its words only as counts.
+    """
+    by_name = labels.groupBy("name").agg(F.collect_list(F.struct("category", "label")).alias("labels"))
+    words = train.select("name", text_col).join(by_name, "name").select("labels", F.explode(word_set(F.col(text_col))).alias("term"))
+    each = words.select("term", F.explode("labels").alias("l")).select("term", "l.category", F.col("l.label").cast("int").alias("hit"))
+    return each.groupBy("category", "term").agg(F.sum("hit").cast("bigint").alias("with_clause"), F.sum(1 - F.col("hit")).cast("bigint").alias("without_clause"))
 
 
 def log_odds(with_: Column, without: Column, n_with: Column, n_without: Column) -> Column:
@@ -102,3 +106,8 @@ def summary(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """One row: mean balanced accuracy, categories above 55, and the categories that couldn't be calibrated."""
     left = categories.select("category").distinct().join(rows.select("category"), "category", "left_anti")
     return rows.agg(F.avg("balanced").alias("mean_balanced"), F.count_if(F.col("balanced") > 55).alias("above_55"), F.count(F.lit(1)).alias("measured")).crossJoin(left.agg(F.array_join(F.sort_array(F.collect_list("category")), ", ").alias("not_measured")))
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Metric rows by balanced accuracy from the highest; ties by name."""
+    return rows.orderBy(F.desc("balanced"), "category")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import dates, location
-from textloom.functions.text import matches
+from textloom.functions.text import key_of, matches, squeeze
+from textloom.operators import windows
 
 # Characters of a text that a page carries, and the dates that it highlights.
-MAX_TEXT = 60_000
+MAX_TEXT, PASSAGE = 60_000, 340
 ANY_DATE = (
     r"(?i)((?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s*\d{4}"
     r"|\d{1,2}/\d{1,2}/\d{2,4}"
@@ -45,7 +46,7 @@ def depth(start: Column, text: Column) -> Column:
 
 def ranges(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Found rule rows of a sheet with range and depth; ``docs(name, text)``, ``rows(name, category, value, …)``."""
-    joined = rows.where("engine = 'rule' and value is not null").join(docs, "name")
+    joined = rows.where("engine = 'rule' and value is not null").drop("text").join(docs.select("name", "text"), "name")
     chosen = F.lit(None).cast("struct<start: int, end: int>")
     for category in ("Document Name", "Governing Law", "Agreement Date", "Effective Date", "Renewal Term", "Parties"):
         chosen = F.when(F.col("category") == category, value_range(category, F.col("text"), F.col("value"))).otherwise(chosen)
@@ -57,6 +58,59 @@ def pages(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.where(F.col("name").isin(names)).select("name", F.left("text", F.lit(MAX_TEXT)).alias("text"), F.length("text").alias("length"))
 
 
+def page_rows(docs: DataFrame, rows: DataFrame, model: DataFrame, shown: DataFrame) -> DataFrame:
+    """A sheet's rows with what the page adds: range (rules), passage (presence, where found) and depth, and the categories' figures from ``shown(category, pct, naive)``.
+
+    A rule row carries its category's figure as confidence, as rules have no measure of single rows; a presence row its own.
+    """
+    spans = ranges(docs, rows).select("name", "category", "range", F.col("depth").alias("rule_depth"))
+    best = windows.score(docs.select("name", "text"), model.select("category", "cues")).where("start is not null")
+    passages = best.select("name", "category", squeeze(F.substring(F.col("text"), F.col("start") + 1, F.lit(PASSAGE))).alias("passage"), depth(F.col("start"), F.col("text")).alias("presence_depth"))
+    figures = shown.select(key_of(F.col("category")).alias("_key"), F.col("pct").alias("tested"), F.col("naive"))
+    joined = rows.join(spans, ["name", "category"], "left").join(passages, ["name", "category"], "left").withColumn("_key", key_of(F.col("category"))).join(F.broadcast(figures), "_key", "left")
+    rule, found = F.col("engine") == "rule", F.col("state") == "found"
+    return joined.select(
+        "name",
+        "category",
+        "engine",
+        "state",
+        "value",
+        F.when(rule, F.col("tested")).otherwise(F.col("confidence")).alias("confidence"),
+        "confidence_kind",
+        F.col("tested").alias("clause_accuracy"),
+        "naive",
+        "range",
+        F.when(~rule & found, F.col("passage")).alias("passage"),
+        F.when(rule, F.col("rule_depth")).when(found, F.col("presence_depth")).alias("depth"),
+    )
+
+
+def page_data(docs: DataFrame, names: list[str], rows: DataFrame) -> list[dict]:
+    """The chosen documents, in their order, each with its text, length and rows: what a page's script reads. The driver holds these documents."""
+    texts = {r["name"]: r for r in pages(docs, names).collect()}
+    by_name: dict[str, list[dict]] = {}
+    for r in rows.where(F.col("name").isin(names)).orderBy("name", "category").collect():
+        row = r.asDict(recursive=True)
+        row["range"] = [row["range"]["start"], row["range"]["end"]] if row["range"] else None
+        by_name.setdefault(row.pop("name"), []).append(row)
+    return [{"name": n, "text": texts[n]["text"], "length": texts[n]["length"], "rows": by_name.get(n, [])} for n in names]
+
+
+def choose(docs: DataFrame, wanted: list[str], add: list[str] = (), remove: list[str] = ()) -> list[str]:
+    """Names of the documents wanted, with those added and without those removed; LookupError for one that isn't there or nothing left."""
+    chosen = [resolve(docs, w) for w in wanted]
+    for w in add:
+        if (name := resolve(docs, w)) not in chosen:
+            chosen.append(name)
+    for w in remove:
+        if (name := resolve(docs, w)) not in chosen:
+            raise LookupError(f"not in the list: {name}")
+        chosen.remove(name)
+    if not chosen:
+        raise LookupError("the page would have no documents")
+    return chosen
+
+
 def resolve(docs: DataFrame, wanted: str) -> str:
     """A document's name by its number in the order of names, or by a part of it that no other has; else LookupError."""
     if wanted.isdigit():

@@ -8,7 +8,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from textloom.functions.text import key_of, stem
+from textloom.functions.text import key_of, plain_key, stem
 
 SUFFIXES = ("-Answer", "- Answer")
 
@@ -25,6 +25,12 @@ def corpus_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_replace("file", r"(?i)\.txt$", "").alias("name"), "text")
 
 
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(name, text) of a JSON file, a folder of text files (``…/*.txt``) or Parquet, by the path's ending."""
+    read = corpus_json if path.endswith(".json") else corpus_texts if path.endswith(".txt") else corpus_parquet
+    return read(spark, path)
+
+
 def corpus_parquet(spark: SparkSession, path: str, name: str = "name", text: str = "text") -> DataFrame:
     return spark.read.parquet(path).select(F.col(name).cast("string").alias("name"), F.col(text).alias("text"))
 
@@ -40,27 +46,34 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
 
 
+def _literal(cell: str | None):
+    """What a cell's list literal says, the cell itself where it is none, an empty list for a blank one."""
+    cell = (cell or "").strip()
+    if not cell:
+        return []
+    try:
+        return ast.literal_eval(cell)
+    except (ValueError, SyntaxError):
+        return [cell]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _spans(cells: pd.Series) -> pd.Series:
-    def one(cell: str | None) -> list[str]:
-        cell = (cell or "").strip()
-        if not cell:
-            return []
-        try:
-            value = ast.literal_eval(cell)
-        except (ValueError, SyntaxError):
-            return [cell]
-        return [str(x) for x in value] if isinstance(value, list) else [str(value)]
+    return cells.map(lambda cell: [str(x) for x in v] if isinstance(v := _literal(cell), list) else [str(v)])
+
 
-    return cells.map(one)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _training_spans(cells: pd.Series) -> pd.Series:
+    return cells.map(lambda cell: [str(x) for x in v] if isinstance(v := _literal(cell), (list, tuple, str, set, dict)) else [str(v)])
 
 
-def spans_of(cell: Column) -> Column:
+def spans_of(cell: Column, training: bool = False) -> Column:
     """The passages in a cell: a list literal's elements, else the cell itself; none if blank.
 
-    The cells are list literals of another language, with its escapes, which no built-in function reads.
+    A literal that is no list is one passage for the rules; for training its parts are (a string's characters). The
+    cells are list literals of another language, with its escapes, which no built-in function reads.
     """
-    return _spans(cell)
+    return _training_spans(cell) if training else _spans(cell)
 
 
 def answer_columns(columns: list[str]) -> dict[str, str]:
@@ -68,12 +81,21 @@ def answer_columns(columns: list[str]) -> dict[str, str]:
     return {c: c + s for c in columns for s in SUFFIXES if c + s in columns}
 
 
-def annotations(wide: DataFrame, file: str = "Filename") -> DataFrame:
-    """One wide row a document -> (name, category, spans, answer); answers are trimmed, null if the cell is."""
-    answers = answer_columns(wide.columns)
+def answer_columns_by_key(columns: list[str]) -> dict[str, str]:
+    """Category -> its answer column, by key: names that differ in case and signs belong together."""
+    answers = {plain_key(c.removesuffix(s)): c for c in columns for s in SUFFIXES if c.endswith(s)}
+    return {c: answers[plain_key(c)] for c in columns if not c.endswith("Answer") and plain_key(c) in answers}
+
+
+def annotations(wide: DataFrame, file: str = "Filename", match_keys: bool = False, training: bool = False) -> DataFrame:
+    """One wide row a document -> (name, category, spans, answer); answers are trimmed, null if the cell is.
+
+    ``match_keys``: answer columns by key instead of by exact name. ``training``: span cells as training reads them.
+    """
+    answers = answer_columns_by_key(wide.columns) if match_keys else answer_columns(wide.columns)
     cells = F.array(*(F.struct(F.lit(c).alias("category"), F.col(f"`{c}`").alias("cell"), F.trim(F.col(f"`{a}`")).alias("answer")) for c, a in answers.items()))
     long = wide.select(stem(F.col(file)).alias("name"), F.explode(cells).alias("c")).select("name", "c.*")
-    return long.select("name", "category", spans_of(F.col("cell")).alias("spans"), "answer")
+    return long.select("name", "category", spans_of(F.col("cell"), training).alias("spans"), "answer")
 
 
 def labels(long: DataFrame) -> DataFrame:

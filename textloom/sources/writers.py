@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from textloom.operators.evaluation import FLOOR_COLUMNS
+
 #: Rows that a single file may hold at most.
 MOST_ROWS = 100_000
 
@@ -48,6 +50,11 @@ def csv_file(df: DataFrame, path: str) -> None:
         writer.writerows(_rows(df))
 
 
+def floor_file(report: DataFrame, path: str) -> None:
+    """The floor report (``evaluation.floor_report``) as CSV."""
+    csv_file(report.select(*FLOOR_COLUMNS), path)
+
+
 def sheet_file(rows: DataFrame, name: str, path: str) -> None:
     """The sheet of one document."""
     json_file({"contract": name, "rows": [{k: v for k, v in r.items() if k != "name"} for r in _rows(rows.where(rows["name"] == name))]}, path)
