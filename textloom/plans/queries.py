@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import compare, dates, law, location, parties, terms, text, titles
-from textloom.operators import calibration, evaluation, learning, scope, sheet, windows
-from textloom.plans.contracts import FACTS_SQL, contracts
+from textloom.operators import calibration, evaluation, learning, measure, scope, sheet, windows
+from textloom.plans.contracts import FACTS_SQL, LONG_FACTS_SQL, annotated, contracts, long_contracts
 
 CUES = ["and", "able", "tion", "ther", "theand", "idiot", "worthless", "clown"]
 QUERIES, ORACLES = {}, {}
@@ -31,6 +31,7 @@ CASTS = {
     "sheet_accuracy": {"bigint": ["perfect", "eighty"]},
     "accuracy_by_group": {"bigint": ["right"]},
     "majority_floor": {"bigint": ["yes", "no", "total", "confirmations"]},
+    "floor_report": {"bigint": ["si", "no", "total", "human_confirmations"]},
     "floor_summary": {"bigint": ["skewed", "balanced"]},
     "cue_terms_top40": {"int": ["place"]},
     "threshold_sweep": {"int": ["step"], "bigint": ["true_pos", "true_neg"]},
@@ -160,11 +161,15 @@ def title_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts(spark, sf_dir).select("k", titles.rule_title(location.fragments("document name", t)).alias("title"), titles.naive_title(t).alias("naive"), first.alias("plausible"))
 
 
-@query("select page_id, coalesce(strpos(html, '<') > 0, false) as markup, cast(null as varchar) as title from pages")
+@query(
+    """with said as (select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g')) as t, coalesce(strpos(html, '<') > 0, false) as markup from pages)
+    select page_id, markup, case when length(t) between 8 and 200 and not regexp_matches(t, '[<>]') and length(regexp_replace(t, '[^\\p{L}\\s]', '', 'g')) / length(t) >= 0.6 and regexp_matches(t, '[A-Za-z]{3,}') then t end as title,
+    cast(null as varchar) as line from said"""
+)
 def title_of_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F9 on pages: markup is never a title."""
-    p = _read(spark, sf_dir, "pages")
-    return p.select("page_id", F.coalesce(F.contains("html", F.lit("<")), F.lit(False)).alias("markup"), titles.plausible_title(F.when(F.contains("html", F.lit("<")), F.left("html", F.lit(150)))).alias("title"))
+    """F9 and F16 on whole pages: the page's own title if it can be one; a line of markup never is."""
+    p, html = _read(spark, sf_dir, "pages"), F.coalesce("html", F.lit(""))
+    return p.select("page_id", F.contains(html, F.lit("<")).alias("markup"), titles.plausible_title(text.extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), titles.plausible_title(F.when(F.contains(html, F.lit("<")), html)).alias("line"))
 
 
 @query(f"""with {FACTS_SQL} select k, 'Buyer ' || c || ' Trading Co ("Buyer"); Norvex Supply LLC ("Seller")' as parties, 'Buyer ' || c as stripped from facts""")
@@ -201,36 +206,94 @@ def comparators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- rules at hard places ----
+
+_MDY = "strftime({0}, '%-m/%-d/%y')"
+
+
+@query(
+    f"""with {LONG_FACTS_SQL} select k, case k % 4 when 3 then null when 2 then {_MDY.format('other')} else {_MDY.format('d')} end as agreement_date,
+    case k % 4 when 2 then {_MDY.format('other')} else {_MDY.format('d')} end as with_unicode,
+    cast(case k % 4 when 1 then 2 when 2 then 0 else 1 end as bigint) as anchored from long_facts"""
+)
+def long_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, F3, L2, L3, L7, T6 on contracts of up to 338,000 characters: several dates in a fragment (the pattern's order decides), one beyond the front matter, no-break spaces without and with Unicode classes."""
+    t = F.col("text")
+    anchors = F.size(location.around(location.front(t), location.AGREEMENT_DATE, 0, location.AFTER_DATE, location.MOST_DATES)).cast("bigint")
+    plain = dates.rule_date(location.fragments("agreement date", t))
+    with text.unicode_classes():
+        wide = dates.rule_date(location.fragments("agreement date", t))
+    return long_contracts(spark, sf_dir).select("k", plain.alias("agreement_date"), wide.alias("with_unicode"), anchors.alias("anchored"))
+
+
+@query(f"with {LONG_FACTS_SQL} select k, case when k % 3 = 0 then place end as law, cast(case k % 3 when 0 then 2 when 1 then 6 else 1 end as bigint) as fragments, 'SERVICE AGREEMENT' as title from long_facts")
+def long_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12, L1, L4, T1, T6, T8 on long contracts: the law at the first anchor, behind six others (the limit), and beyond the window; a title in two pieces behind an exhibit's number."""
+    t = F.col("text")
+    found = location.fragments("governing law", t)
+    return long_contracts(spark, sf_dir).select("k", law.rule_law(found).alias("law"), F.size(found).cast("bigint").alias("fragments"), titles.located_title(t)[0].alias("title"))
+
+
+@query(f"with {LONG_FACTS_SQL} select k, case when k % 5 < 3 then (k % 90 + 2) || ' days' when k % 5 = 3 then (k % 9 + 2) || ' months' end as notice from long_facts")
+def long_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms at the very end of long contracts; weeks don't count."""
+    return long_contracts(spark, sf_dir).select("k", terms.rule_notice(location.fragments("notice period to terminate renewal", F.col("text"))).alias("notice"))
+
+
+_EXPIRES = "case k % 5 when 0 then 'for a period of ' || (k % 40 + 1) || ' months' when 1 then 'for ' || (k % 9 + 1) || ' years' when 2 then 'until the end of the then-current calendar year' when 3 then 'for an uncertain time until March 4, 2021' else 'for zero (0) months, signed May 6, 2022' end"
+
+
+@query(
+    f"""with base as (select cast(o_orderkey as bigint) as k, cast(o_orderdate as date) + cast(o_orderkey % 17 as int) * interval 5 year as d from orders),
+    dated as (select k, month(d) as m, day(d) as dd, (year(d) % 100) as yy from base), century as (select *, yy + case when yy < 70 then 2000 else 1900 end as y from dated),
+    moved as (select *, case k % 5 when 0 then (m - 1 + k % 40 + 1) % 12 + 1 else m end as m2, case k % 5 when 0 then y + (m - 1 + k % 40 + 1) // 12 when 1 then y + k % 9 + 1 else y + 2 end as y2 from century),
+    last as (select *, case when m2 = 2 then case when y2 % 4 = 0 and (y2 % 100 <> 0 or y2 % 400 = 0) then 29 else 28 end when m2 in (4, 6, 9, 11) then 30 else 31 end as most from moved)
+    select k, case k % 5 when 2 then '12/31/' || lpad(cast(yy as varchar), 2, '0') when 3 then '3/4/21' when 4 then '5/6/22' else m2 || '/' || case when dd > most then 28 else dd end || '/' || lpad(cast(y2 % 100 as varchar), 2, '0') end as expires from last"""
+)
+def expiration_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: months over the end of a year, days that a month lacks, years on either side of the century's pivot, the end of the calendar year, a written date, a term of zero."""
+    o = _read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as bigint) as k", "add_months(to_date(o_orderdate), cast(o_orderkey % 17 as int) * 60) as d")
+    o = o.selectExpr("k", "concat(month(d), '/', day(d), '/', lpad(cast(year(d) % 100 as string), 2, '0')) as effective", f"{_EXPIRES} as said")
+    return o.select("k", terms.rule_expiration(F.array("said"), F.col("effective")).alias("expires"))
+
+
 # ---- accuracy of rules ----
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, name, kind, text, category, correct): rules over located text, against answers of which every seventh is wrong and every seventeenth redacted."""
-    t = F.col("text")
-    said = contracts(spark, sf_dir).select("k", "name", "kind", "text", "d", "place", "dated", "lawful", dates.rule_date(location.agreement_date(t)).alias("date"), law.rule_law(location.fragments("governing law", t)).alias("law"), titles.rule_title(location.fragments("document name", t)).alias("title"))
-    answer = {"date": F.when(F.col("dated"), F.date_format("d", "M/d/yyyy")), "law": F.when(F.col("lawful"), F.col("place")), "title": F.concat("kind", F.lit(" SUPPLY AGREEMENT"))}
-    given = lambda c: F.when(F.col("k") % 17 == 0, "[* * *]").when((F.col("k") % 7 == 0) & answer[c].isNotNull(), "2/30/1950 Nowhere").otherwise(F.coalesce(answer[c], F.lit("")))
-    same = {"date": compare.same_date, "law": compare.same_contains, "title": compare.same_text}
-    rows = said.select("k", "name", "kind", F.length("text").alias("chars"), F.explode(F.array(*(F.struct(F.lit(c).alias("category"), given(c).alias("answer"), f(F.col(c), given(c)).alias("correct")) for c, f in same.items()))).alias("r"))
-    return rows.select("k", "name", "kind", "chars", "r.*").where(compare.judgeable(F.col("answer")))
+    """(name, category, answer, value, correct): seven rules over located text, against annotations."""
+    return measure.end_to_end(*annotated(spark, sf_dir))
 
 
-_JUDGED_SQL = f"""{FACTS_SQL}, judged as (
-  select k, name, kind, category, k % 7 <> 0 as correct from (
-    select k, name, kind, 'date' as category, dated as given from facts union all select k, name, kind, 'law', lawful from facts union all select k, name, kind, 'title', true from facts)
-  where given and k % 17 <> 0)"""
+_JUDGED_SQL = f"""{FACTS_SQL}, marked as (
+  select k, name, r.category, r.late, k % 7 <> 0 as fine from facts, lateral (select unnest([
+    {{'category': 'Document Name', 'given': true, 'late': false}}, {{'category': 'Parties', 'given': true, 'late': true}}, {{'category': 'Agreement Date', 'given': dated, 'late': true}}, {{'category': 'Effective Date', 'given': dated, 'late': true}},
+    {{'category': 'Governing Law', 'given': lawful, 'late': false}}, {{'category': 'Expiration Date', 'given': dated, 'late': false}}, {{'category': 'Renewal Term', 'given': true, 'late': false}}, {{'category': 'Notice Period To Terminate Renewal', 'given': true, 'late': false}}]) as r)
+  where r.given and k % 17 <> 0),
+judged as (select k, name, category, fine and not (late and k % 10 = 9) as correct from marked where category <> 'Expiration Date')"""
 
 
-@query(f"with {_JUDGED_SQL} select category, count_if(correct) as \"right\", count(*) as n, 100.0 * count_if(correct) / count(*) as pct, 100.0 * count_if(correct) / count(*) - 90.0 as cost from judged group by category")
+@query(f"with {_JUDGED_SQL} select category, count_if(fine) as \"right\", count(*) as n, 100.0 * count_if(fine) / count(*) as pct from marked group by category")
 def rule_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accuracy end to end, and its distance from that of located text."""
-    return evaluation.accuracy(_judged(spark, sf_dir), "category").withColumn("cost", F.col("pct") - 90.0)
+    """Eight rules over the passages that annotators marked."""
+    return evaluation.accuracy(measure.located(annotated(spark, sf_dir)[1]), "category")
+
+
+@query(
+    f"""with {_JUDGED_SQL}, whole as (select category, count(*) as n, 100.0 * count_if(correct) / count(*) as pct from judged group by category)
+    select category, n, pct, located_pct, pct - located_pct as cost from whole join (select category, 100.0 * count_if(fine) / count(*) as located_pct from marked group by category) using (category)"""
+)
+def locating_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven rules end to end, over marked passages, and what locating costs: every tenth contract opens beyond the front matter."""
+    docs, notes = annotated(spark, sf_dir)
+    return measure.cost_of_locating(measure.end_to_end(docs, notes), measure.located(notes))
 
 
 @query(f"with {_JUDGED_SQL} select category, k, place from (select category, k, row_number() over (partition by category order by k) as place from judged where not correct) where place <= 3")
 def rule_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A13, W4."""
-    return evaluation.sample_failures(_judged(spark, sf_dir), "k").select("category", "k", "place")
+    found = evaluation.sample_failures(_judged(spark, sf_dir), "name")
+    return found.select("category", F.substring("name", 7, 12).cast("bigint").alias("k"), "place")
 
 
 _SHEETS_SQL = f"{_JUDGED_SQL}, sheets as (select name, count_if(correct) as ok, count(*) as n from judged group by name)"
@@ -345,6 +408,16 @@ def floor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.floor_summary(majority_floor(spark, sf_dir))
 
 
+@query(
+    f"""with {_DOCS_SQL}, counts as (select category, count_if(label) as si, count_if(not label) as no from labelled group by category)
+    select category, si, no, si + no as total, round(100.0 * greatest(si, no) / (si + no), 1) as trivial_floor_pct, case when si >= no then 'Yes' else 'No' end as majority_class,
+    case when 100.0 * greatest(si, no) / (si + no) < 65 then 'accuracy' else 'recall_clase_minoritaria' end as valid_metric, least(si, no) as human_confirmations from counts"""
+)
+def floor_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The floor as its file shows it."""
+    return evaluation.floor_report(majority_floor(spark, sf_dir))
+
+
 # ---- learning ----
 
 _SPLIT_SQL = f"""{_DOCS_SQL}, ordered as (select name, row_number() over (order by name) - 1 as r, count(*) over () as n from (select distinct name from labelled)),
@@ -384,7 +457,9 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir).select("name", "category", "score", "start", "label", "part")
+    scored = _scored(spark, sf_dir)
+    gold = F.substring("text", F.col("doc_id") % 2 * 800 + 1, F.lit(70))  # a passage that only some best windows hold
+    scored = scored.select("name", "category", "score", "start", "label", "part", learning.located(F.col("text"), F.col("start"), gold).alias("located"))
     found = learning.thresholds(learning.sweep(scored.where("part = 'val'")))
     return scored.join(F.broadcast(found), "category")
 
@@ -422,17 +497,17 @@ def best_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.thresholds(learning.sweep(_scored(spark, sf_dir).where("part = 'val'")))
 
 
+_LOCATED = "case when start is not null then trim(regexp_replace(substr(text, cast(doc_id % 2 * 800 + 1 as int), 70), '\\s+', ' ', 'g')) <> '' and contains(trim(regexp_replace(substr(text, cast(start + 1 as int), 1600), '\\s+', ' ', 'g')), left(trim(regexp_replace(substr(text, cast(doc_id % 2 * 800 + 1 as int), 70), '\\s+', ' ', 'g')), 60)) end"
 _CONFUSION = "count_if(label and score >= threshold) as tp, count_if(not label and score < threshold) as tn, count_if(label) as p, count_if(not label) as q"
 
 
 @query(
-    f"""with {_SWEEP_SQL}, counts as (select category, {_CONFUSION} from scored_docs join thresholds using (category) where part = 'test' and threshold is not null group by category having p > 0 and q > 0)
-    select category, p + q as n, p as positives, 100.0 * greatest(p, q) / (p + q) as floor, 100.0 * (tp + tn) / (p + q) as accuracy, round(100.0 * (tp / p + tn / q) / 2, 9) as balanced, 100.0 * tp / p as recall, 100.0 * tn / q as specificity from counts"""
+    f"""with {_SWEEP_SQL}, counts as (select category, {_CONFUSION}, avg(case when label and score >= threshold then cast({_LOCATED} as int) end) as hit from scored_docs join thresholds using (category) join base using (name) where part = 'test' and threshold is not null group by category having p > 0 and q > 0)
+    select category, p + q as n, p as positives, 100.0 * greatest(p, q) / (p + q) as floor, 100.0 * (tp + tn) / (p + q) as accuracy, round(100.0 * (tp / p + tn / q) / 2, 9) as balanced, 100.0 * tp / p as recall, 100.0 * tn / q as specificity, 100.0 * hit as located_pct from counts"""
 )
 def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8."""
-    judged = _with_thresholds(spark, sf_dir).where("part = 'test'").withColumn("located", F.lit(None).cast("boolean"))
-    return learning.metrics(judged).withColumn("balanced", F.round("balanced", 9)).drop("located_pct")
+    """With the share of true positives whose window holds the gold passage."""
+    return learning.metrics(_with_thresholds(spark, sf_dir).where("part = 'test'")).withColumn("balanced", F.round("balanced", 9))
 
 
 @query(
@@ -442,7 +517,7 @@ def confusion_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A10, T3."""
-    judged = _with_thresholds(spark, sf_dir).where("part = 'test'").withColumn("located", F.lit(None).cast("boolean"))
+    judged = _with_thresholds(spark, sf_dir).where("part = 'test'")
     return learning.summary(learning.metrics(judged), _labels(spark, sf_dir)).withColumn("mean_balanced", F.round("mean_balanced", 9))
 
 
@@ -454,12 +529,17 @@ def detector_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def location_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the window before a benchmark passage's place holds its beginning.
 
-    The few benchmark items are the gold passages; a document meets an item through the item's own text.
+    The benchmark items are the gold passages; a document meets an item through six words of it, by an equality join, and is then verified.
     """
     gold = _read(spark, sf_dir, "benchmark").select(F.col("text").alias("gold"))
-    pairs = _read(spark, sf_dir, "documents").join(F.broadcast(gold), F.contains(F.col("text"), F.col("gold")))
+    words = _read(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", " ").alias("w"))
+    grams = F.expr(f"transform(w, (x, i) -> xxhash64(x, {', '.join(f'get(w, i + {j})' for j in range(1, 6))}))")
+    keyed = words.select("doc_id", "text", F.explode(grams).alias("gram"))
+    # The second to seventh word of a passage are whole words wherever it stands.
+    known = gold.select("gold", F.expr(f"xxhash64({', '.join(f'get(split(gold, chr(32)), {j})' for j in range(1, 7))})").alias("gram"))
+    pairs = keyed.join(known, "gram").where(F.contains("text", F.col("gold")))
     placed = pairs.withColumn("start", F.expr("(locate(gold, text) - 1) div 800 * 800"))
-    return placed.select("doc_id", "start", learning.located(F.col("text"), F.col("start").cast("int"), F.col("gold")).alias("located"))
+    return placed.select("doc_id", "gold", "start", learning.located(F.col("text"), F.col("start").cast("int"), F.col("gold")).alias("located")).distinct().drop("gold")
 
 
 # ---- calibration ----
