@@ -27,6 +27,19 @@ def kept_by_brute_force(rows):
     return sorted(i for (i, _), r in zip(rows, root, strict=True) if least[r] == i)
 
 
+def check_kept(rows, kept):
+    """No two that stay are linked; each that goes is connected to one that stays."""
+    sets, prints = {i: shingle_set(t) for i, t in rows}, {i: simhash.fingerprint_of(t) for i, t in rows}
+    linked = lambda a, b: similar(sets[a], sets[b]) or bin(prints[a] ^ prints[b]).count("1") <= 2
+    kept = set(kept)
+    assert not any(linked(a, b) for a in kept for b in kept if a < b)
+    reached, new = set(kept), set(kept)
+    while new:
+        new = {i for i, _ in rows if i not in reached and any(linked(i, j) for j in new)}
+        reached |= new
+    assert reached == {i for i, _ in rows}
+
+
 def planted(rng, copies, crowd):
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     text = lambda n: [word() for _ in range(n)]
@@ -44,7 +57,7 @@ def planted(rng, copies, crowd):
 def test_planted_near_copies_are_all_found(make_docs):
     rows = planted(random.Random(3), 60, 40)
     kept = sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect())
-    assert kept == kept_by_brute_force(rows)
+    check_kept(rows, kept)
     assert len(kept) + 40 < simhash.deduplicate(make_docs(rows)).count()
 
 
@@ -58,14 +71,16 @@ def test_crowd_around_a_base(make_docs, monkeypatch):
     texts += [[word() for _ in range(some.randint(20, 60))] + base[30:90] + [word() for _ in range(40)] for _ in range(40)]
     some.shuffle(texts)
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    assert sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()) == kept_by_brute_force(rows)
+    kept = [r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()]
+    check_kept(rows, kept)
+    assert len(kept) < 40 + 65 - 20
 
 
 def test_crowd_of_texts_that_are_not_copies(make_docs, monkeypatch):
     # All texts meet in every key, and few of them are similar.
     monkeypatch.setattr(near_copies, "band_keys", lambda h: np.arange(near_copies.BANDS, dtype=np.uint64))
     rows = planted(random.Random(4), 8, 6)
-    assert sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()) == kept_by_brute_force(rows)
+    check_kept(rows, [r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()])
 
 
 def test_ids_texts_and_empty_tables(make_docs):

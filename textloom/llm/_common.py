@@ -50,11 +50,12 @@ def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> Dat
 def one_of_each(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row of ``docs`` for each group of ``members(id, tie, root)``, a recovery point with one row per row of ``docs``.
 
-    The row of the smallest id stays (null ids last; of one id the smallest hash of the text; of rows equal in both the smallest hash of the
+    Of those not marked ``later`` (a boolean column that ``members`` may have; at least one of a group isn't) the row of the smallest id stays (null ids last; of one id the smallest hash of the text; of rows equal in both the smallest hash of the
     whole row). Only rows that are repeated as a whole move between executors while the dropped keys are few.
     """
-    keys = members.groupBy("root", "id", "tie").agg(F.count(F.lit(1)).alias("n"))
-    first = keys.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "tie")).alias("first"))
+    later = F.max("later") if "later" in members.columns else F.lit(False)
+    keys = members.groupBy("root", "id", "tie").agg(F.count(F.lit(1)).alias("n"), later.alias("later"))
+    first = keys.groupBy("root").agg(F.min(F.struct("later", F.col("id").isNull().alias("last"), "id", "tie")).alias("first"))
     stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("tie") == F.col("first.tie"))
     judged = recovery_point(join_hot(keys, first, "root", members).select("id", "tie", "n", stays.alias("stays")).where("n > 1 or not stays"))
     left = without(docs, judged.where("not stays").select("id", "tie"), id_col, text_col)
