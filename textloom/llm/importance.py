@@ -8,7 +8,7 @@ are kept. k is the number of documents whose weight reaches a cut that is calibr
 follows the corpus. With a cut given, no labels of bad documents are needed.
 
 The raw model counts every word of every document. The target model and the cut are fitted on a bounded sample of
-labelled rows (``MAX_LABELLED``, by seeded hash).
+labelled rows (``most_labelled``, by seeded hash).
 """
 
 from __future__ import annotations
@@ -176,11 +176,11 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float((ordered[at - 1] + ordered[at]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, most_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """The buckets' log ratio, and the cut. Without good labels the ratio is 0 and the cut keeps all; without bad ones the cut keeps all."""
     spark = docs.sparkSession
     sample = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias(label_col))
-    rows = sample.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(MAX_LABELLED).collect()
+    rows = sample.orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), id_col).limit(most_labelled).collect()
     good, bad = [r[0] for r in rows if r[1] > 0], [r[0] for r in rows if r[1] <= 0]
     if not good:
         return np.zeros(BUCKETS), -np.inf
@@ -200,13 +200,13 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id_col: str, text_col: str, seed:
     return weighed.withColumn(names[1], F.col(names[0]) + gumbel(seed, F.col(id_col), F.xxhash64(text_col)))
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, k: int | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11, k: int | None = None, most_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of ``docs``: id, log_weight, perturbed, kept (boolean).
 
     Null and empty texts weigh 0; long texts are counted whole, block by block. Equal rows get equal noise and are kept or rejected together; so all
     ties of the k-th highest perturbed weight are kept. Null ids take part. Other columns aren't read. An empty table gives an empty result.
     """
-    ratio, cut = fit(docs, labels, id_col, text_col, label_col, seed)
+    ratio, cut = fit(docs, labels, id_col, text_col, label_col, seed, most_labelled)
     names = free_name(docs, "log_weight"), free_name(docs, "perturbed")
     scored = recovery_point(weigh(docs.select(id_col, text_col), ratio, id_col, text_col, seed, names).select(id_col, *names))
     least = _least(scored, names, cut, k)
@@ -219,7 +219,7 @@ def _least(scored: DataFrame, names: tuple[str, str], cut: float, k: int | None)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps. Texts are weighed twice instead of moving between executors."""
+    """The rows of ``docs`` that resampling keeps, as ``resample`` says. Texts are weighed twice instead of moving between executors."""
     ratio, cut = fit(docs, labels, id_col, text_col, label_col, seed)
     names = free_name(docs, "log_weight"), free_name(docs, "perturbed")
     scored = recovery_point(weigh(docs.select(id_col, text_col), ratio, id_col, text_col, seed, names).select(*names))
