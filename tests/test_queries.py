@@ -59,3 +59,8 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'clause_sheet' in e.queries() and 'pipeline' not in e.queries(); assert set(e.oracle_sql()) == set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path), "HOME": str(tmp_path)})
+
+
+def test_the_rest_works_without_the_packages_of_the_corpus_operators():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert 'clause_sheet' in e.queries() and 'op1_quality' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)

@@ -703,3 +703,30 @@ def clause_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sheet_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A26."""
     return sheet.footer(clause_sheet(spark, sf_dir))
+
+
+@query(
+    f"""with {LONG_FACTS_SQL}, named as (select *, 'Long_' || lpad(cast(k as varchar), 9, '0') || '-Master Agreement' as name, case k % 4 when 3 then null when 2 then strftime(other, '%-m/%-d/%y') else strftime(d, '%-m/%-d/%y') end as mdy from long_facts)
+    select name, r.category, r.state, r.value from named, lateral (select unnest([
+      {{'category': 'Document Name', 'state': 'found', 'value': 'SERVICE AGREEMENT'}}, {{'category': 'Governing Law', 'state': case when k % 3 = 0 then 'found' else 'absent' end, 'value': case when k % 3 = 0 then place end}},
+      {{'category': 'Agreement Date', 'state': case when mdy is null then 'absent' else 'found' end, 'value': mdy}}, {{'category': 'Effective Date', 'state': case when mdy is null then 'absent' else 'found' end, 'value': mdy}},
+      {{'category': 'Notice Period to Terminate Renewal', 'state': 'model_pending', 'value': null}}, {{'category': 'Renewal Term', 'state': 'review', 'value': null}}, {{'category': 'Renewal Notice', 'state': 'absent', 'value': null}},
+      {{'category': 'Liability Cap', 'state': 'review', 'value': null}}, {{'category': 'Law Named', 'state': case when k % 3 = 2 then 'absent' else 'found' end, 'value': case when k % 3 <> 2 then 'present' end}},
+      {{'category': 'Never There', 'state': 'absent_review', 'value': null}}, {{'category': 'Not Learned', 'state': 'review', 'value': null}}]) as r)"""
+)
+def long_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 to R8 on contracts of 50,000 to 338,000 characters."""
+    rows = sheet.sheet(long_contracts(spark, sf_dir).select("name", "text"), SHEET_RULES, model(spark))
+    return rows.select("name", "category", "state", "value")
+
+
+@query(
+    f"""with {FACTS_SQL} select name, category, confidence_kind, clause_accuracy, cast(null as int) as start, cast(chars as int) as chars, edge from (
+      select name, 'Document Name' as category, 'clause' as confidence_kind, 71.7::double as clause_accuracy, length(kind || ' SUPPLY AGREEMENT') as chars, left(kind, 3) as edge from facts
+      union all select name, 'Governing Law', 'clause', 91.0, case when lawful then 300 end, null from facts)"""
+)
+def sheet_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a rule row carries beside its value: the first fragment, cut to 300 characters, its category's accuracy, and no place."""
+    rows = sheet.sheet(contracts(spark, sf_dir).select("name", "text"), [("Document Name", "rule", 71.7), ("Governing Law", "rule", 91.0)], model(spark).limit(0))
+    edge = F.when(F.col("category") == "Document Name", F.left("text", F.lit(3)))
+    return rows.select("name", "category", "confidence_kind", "clause_accuracy", "start", F.length("text").alias("chars"), edge.alias("edge"))
