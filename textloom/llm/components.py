@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm._common import recovery_point
 
+#: Edges that a task reads at least, where there are so many: small tables in many partitions would cost more in files than in rows.
+EDGES = 20_000
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang each larger neighbour of a node on the smallest node of its neighbourhood."""
@@ -40,4 +43,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if mark[0] == 0 or mark == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = mark
+        now = now.coalesce(mark[0] // EDGES + 1)
         now = recovery_point(_small_star(_large_star(now)).distinct())
