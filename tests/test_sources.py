@@ -38,6 +38,8 @@ def test_categories(spark, tmp_path):
     writers.categories_files(table, str(tmp_path / "out"))
     back = {c["category"]: c for c in json.loads((tmp_path / "out/categories.json").read_text())}
     assert back["Parties"] == {"category": "Parties", "description": "Who signed", "format": "Names", "group": "-", "bucket": "model", "closes_alone": True, "measured_pct": 3.5, "note": "a note"}
+    read = {r["category"]: r for r in scope.config(spark, str(tmp_path / "out/categories.json")).collect()}
+    assert (read["Parties"]["measured_pct"], read["Parties"]["bucket"], read["Exclusivity"]["note"], read["Exclusivity"]["closes_alone"]) == (3.5, "model", None, False)
     assert back["Exclusivity"]["format"] is None and back["Exclusivity"]["closes_alone"] is False
     assert (tmp_path / "out/categories.csv").read_text().splitlines()[0] == "category,format,group,bucket,closes_alone"
     (tmp_path / "e.csv").write_text("")

@@ -603,14 +603,15 @@ _NAMES = ["Document Name", "Parties", "Agreement Date", "Governing Law", "Notice
 
 
 @query(
-    "select * from (values "
-    + ", ".join(f"('{n}', '{b}', {str(b != 'human').lower()}, '{n}.')" for n, b in zip(_NAMES, ["rule", "model", "rule", "rule", "hybrid", "human", "human", "retrieval", "retrieval"], strict=True))
-    + ") t(category, bucket, closes_alone, description)"
+    """select * from (values ('Document Name', 'rule', true, 'Document Name.', null, 'a'), ('Parties', 'model', true, 'Parties.', 3.5, 'b'), ('Agreement Date', 'rule', true, 'Agreement Date.', null, null),
+    ('Governing Law', 'rule', true, 'Governing Law.', null, null), ('Notice Period to Terminate Renewal', 'hybrid', true, 'Notice Period to Terminate Renewal.', null, null), ('Renewal Term', 'human', false, 'Renewal Term.', null, null),
+    ('Cap on Liability', 'human', false, 'Cap on Liability.', null, null), ('Insurance', 'retrieval', true, 'Insurance.', null, null), ('License Grant', 'retrieval', true, 'License Grant.', null, null)) t(category, bucket, closes_alone, description, measured, note)"""
 )
 def bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10 to P12, S4."""
+    """Buckets, cells without their labels, attributes that some categories have."""
     cells = spark.createDataFrame([(f"Category: {n}", f"Description: {n}.", "Answer Format: ", "Group: 1") for n in _NAMES], "category string, description string, format string, `group` string")
-    return scope.categories(cells).select("category", "bucket", "closes_alone", "description")
+    extra = spark.createDataFrame([("Document Name", None, "a"), ("Parties", 3.5, "b"), ("Not There", 1.0, "c")], "category string, measured double, note string")
+    return scope.categories(cells, extra).select("category", "bucket", "closes_alone", "description", "measured", "note")
 
 
 @query("select * from (values ('hybrid', 1, 1), ('human', 2, 0), ('model', 1, 1), ('retrieval', 2, 2), ('rule', 3, 3)) t(bucket, n, alone)")
@@ -620,9 +621,9 @@ def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select * from (values ('wrong number', '9'), "
-    + ", ".join(f"('unknown name', '{n}')" for n in sorted({*scope.RULE, *scope.HYBRID, *scope.HUMAN} - set(_NAMES)))
-    + ") t(problem, category)"
+    """select * from (values ('wrong number', '9'), ('unknown name', 'Anti-Assignment'), ('unknown name', 'Change of Control'), ('unknown name', 'Effective Date'), ('unknown name', 'Exclusivity'), ('unknown name', 'Expiration Date'),
+    ('unknown name', 'IP Ownership Assignment'), ('unknown name', 'Joint IP Ownership'), ('unknown name', 'Liquidated Damages'), ('unknown name', 'Minimum Commitment'), ('unknown name', 'Most Favored Nation'), ('unknown name', 'Non-Compete'),
+    ('unknown name', 'Parties (dropped from rule bucket)'), ('unknown name', 'Source Code Escrow'), ('unknown name', 'Uncapped Liability')) t(problem, category)"""
 )
 def config_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P13, U4."""
@@ -730,3 +731,34 @@ def sheet_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sheet.sheet(contracts(spark, sf_dir).select("name", "text"), [("Document Name", "rule", 71.7), ("Governing Law", "rule", 91.0)], model(spark).limit(0))
     edge = F.when(F.col("category") == "Document Name", F.left("text", F.lit(3)))
     return rows.select("name", "category", "confidence_kind", "clause_accuracy", "start", F.length("text").alias("chars"), edge.alias("edge"))
+
+
+@query(f"select name, category, state from ({_SHEET_SQL}) where category in ('Document Name', 'Governing Law')")
+def scoped_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheet's rows of the categories that the scope decision admits."""
+    return sheet.scope_filter(clause_sheet(spark, sf_dir), scope_decision(spark, sf_dir)).select("name", "category", "state")
+
+
+@query(
+    """select cast(o_orderkey as bigint) as k, case o_orderkey % 6 when 0 then 'perpetual' when 1 then '2 years' when 2 then '18 months' when 3 then null when 4 then '45 months' else '1 year' end as renewal,
+    cast(case o_orderkey % 4 when 0 then o_orderkey % 50 + 1 when 1 then 7 * (o_orderkey % 50 + 1) when 2 then 30 * (o_orderkey % 50 + 1) else 365 * (o_orderkey % 50 + 1) end as bigint) as days from orders"""
+)
+def renewal_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perpetual terms, words and digits, units that don't count, the nearest of several, each unit's days."""
+    said = """case k % 6 when 0 then 'The licence is perpetual and renews every 3 years' when 1 then 'It renews for two (2) years' when 2 then 'It is extended by eighteen months'
+      when 3 then 'It renews for 12 days or three weeks' when 4 then concat('After 3 years, which have nothing to do with it. ', repeat('Many words stand between them. ', 8), 'successive terms of forty-five (45) months') else 'a term of one (1) year' end"""
+    unit = "case k % 4 when 0 then 'day' when 1 then 'week' when 2 then 'month' else 'year' end"
+    o = _read(spark, sf_dir, "orders").selectExpr("cast(o_orderkey as bigint) as k").selectExpr("k", f"{said} as said", f"concat('about ', k % 50 + 1, ' ', upper({unit}), 's, later 9 days') as span")
+    return o.select("k", terms.rule_renewal(F.array("said")).alias("renewal"), terms.to_days(F.col("span")).alias("days"))
+
+
+@query(
+    """select c_custkey, case c_custkey % 5 when 0 then 'India' when 1 then 'Washington' when 2 then 'West Virginia' when 3 then null else 'Ohio' end as naive,
+    case c_custkey % 5 when 0 then 'Indiana' when 1 then 'Nova Scotia' when 2 then 'West Virginia' when 3 then null else 'Pennsylvania' end as ruled from customer"""
+)
+def law_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first name without regard to word ends (Indiana is India), against the name in the phrase, else the longest name anywhere."""
+    said = """case c_custkey % 5 when 0 then 'under the laws of the State of Indiana, unlike Ohio' when 1 then 'Washington first, then NOVA SCOTIA' when 2 then 'in west virginia or Virginia'
+      when 3 then 'under no law of Atlantis' else 'Ohio courts apply Pennsylvania rules; nothing of Texas' end"""
+    c = _read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{said} as said")
+    return c.select("c_custkey", law.naive_law(F.col("said")).alias("naive"), law.rule_law(F.array("said")).alias("ruled"))
