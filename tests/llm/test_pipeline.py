@@ -82,17 +82,13 @@ def test_sharding_places_every_row(stages):
 
 
 @needs_tables
-def test_run_gives_the_last_stage_and_leaves_nothing_else(spark, stages, tmp_path):
-    old = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        whole = corpus_pipeline.run(spark, SF)
-        key = lambda df: sorted(map(tuple, df.select("doc_id", "shard", "slot").collect()))
-        assert key(whole) == key(stages["sharding"][2])
-        (top,) = tmp_path.glob("pipeline-*")
-        assert [p.name for p in top.iterdir()] == ["sharding"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if old is None else spark.conf.set("spark.checkpoint.dir", old)
+def test_run_gives_the_last_stage_and_leaves_nothing_else(spark, stages, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    whole = corpus_pipeline.run(spark, SF)
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "shard", "slot").collect()))
+    assert key(whole) == key(stages["sharding"][2])
+    (top,) = tmp_path.glob("pipeline-*")
+    assert [p.name for p in top.iterdir()] == ["sharding"]
 
 
 ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, H string, root string, tie int, c0 int, pattern string"
