@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from brute import HAS_TABLES, SF, rows_of
 
-from textloom.llm import _common, components, simhash
+from textloom.llm import _common, components, queries, simhash
 
 
 def slow_print(text):
@@ -119,3 +121,14 @@ def test_deduplicate_goes_by_id_and_text(spark, make_docs, monkeypatch):
 def test_empty_table(spark, make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
     assert simhash.deduplicate(make_docs([])).count() == 0
+
+
+@pytest.mark.skipif(not HAS_TABLES, reason="needs the test tables")
+def test_query_against_brute_force(spark):
+    rows = rows_of(spark, "documents", "doc_id", "text")
+    prints = {i: slow_print(t) for i, t in rows}
+    near = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2]
+    root = roots(near, prints)
+    expected = sorted((i, f"{prints[i]:016x}", root[i]) for i in prints)
+    got = sorted(tuple(r) for r in queries.op3_simhash(spark, SF).select("doc_id", "fingerprint", "component_id").collect())
+    assert got == expected and near
