@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from textloom.llm import near_copies, simhash
 
@@ -93,3 +94,25 @@ def test_ids_texts_and_empty_tables(make_docs):
     twice = make_docs([*rows, *rows, (9, "a third text of this id")])
     assert sorted(repr((r["doc_id"], r["text"])) for r in near_copies.deduplicate(twice).collect()) == sorted(map(repr, [rows[0], rows[2], rows[4], rows[6], (9, "a third text of this id")]))
     assert near_copies.deduplicate(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("dealt", [1 << 17, 500])
+def test_crowd_in_chains(make_docs, monkeypatch, dealt):
+    # In one crowd, chains whose links don't touch the best center or another group's, and texts that share much with all and are similar to none.
+    monkeypatch.setattr(near_copies, "band_keys", lambda h: np.arange(near_copies.BANDS, dtype=np.uint64))
+    monkeypatch.setattr(near_copies, "DEALT", dealt, raising=False)
+    some = random.Random(8)
+    word = lambda: "".join(some.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(150)]
+    texts = [base]
+    for _ in range(3):
+        now, places = list(base), some.sample(range(30), 12)
+        for at in places:
+            now = [word() if i == 5 * at else w for i, w in enumerate(now)]
+            texts.append(now)
+    texts += [base[50:] + base[:n] + [word()] for n in range(0, 20, 2)]
+    some.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()) == kept_by_brute_force(rows)
+    groups = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
+    assert sorted(set(groups.values())) == kept_by_brute_force(rows)

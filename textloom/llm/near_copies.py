@@ -10,12 +10,11 @@ square of pairs. In them
 
 * a shingle that no other set of the crowds holds can't be shared: with c shared shingles of n, a set can be similar to no other
   unless c >= 0.8 n, and to a given one only if both c reach 4/9 of the sum of both n. So texts that merely have a passage in common drop out. This is exact;
-* all members are compared with the one that has the largest part shared (of copies, mostly what they were copied from);
-* from then on only one representative of each group is compared, that of the largest part shared, with a few of the others by hash, sixteen times as many each round, until all representatives in a key
-  have been. It is the one that stays.
+* all members are compared with the one that has the largest part shared (of copies, mostly what they were copied from), which puts most of them in one group;
+* what is left to decide are pairs of different groups. All of them are compared: the members of a key that holds several groups are dealt to blocks, every two blocks
+  (but for two of the largest group) meet in one task, and only links that join groups come out. So rows grow with the members times the blocks, not with the pairs.
 
-So no two texts that stay are similar, and each one that goes is linked, directly or over others, to one that stays. Where a crowd's members
-are similar to each other but not to the representative, several of them may stay.
+So groups are the same as if all pairs in crowded keys had been listed.
 
 Links of SimHash (``simhash.links``) are taken too, so that a group here contains the groups found there.
 """
@@ -34,6 +33,8 @@ from textloom.llm._common import MOST_KEYS, bounded, join_hot, one_of_each, reco
 from textloom.llm.components import connected_components
 
 SHINGLE, BANDS, ROWS, CROWD = 5, 35, 5, 8
+#: Shingles of the sets in a block, about.
+DEALT = 1 << 17
 #: Minimum hashes over so many shingles at a time; words whose hashes a task keeps.
 BLOCK, CACHE = 1024, 300_000
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS + SHINGLE + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,8 +145,45 @@ def _between_roots(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
 
 
+def _cells(crowd: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(key, x, y, sig, root, c)``: members of each key of ``crowd(key, v)`` that holds several groups, in pairs of blocks. Two members of different groups meet in one pair of a key they share."""
+    placed = recovery_point(crowd.join(nodes.select("sig", "root").distinct(), F.col("v.sig") == F.col("sig")).select("key", "sig", "root", "v.n", "v.c"))
+    parts = placed.groupBy("key", "root").agg(F.sum("n").alias("n"))
+    keys = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("whole"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    keys = recovery_point(keys.select("key", "top", F.ceil((F.col("whole") - F.col("most")) / DEALT).alias("others"), F.ceil(F.col("most") / DEALT).alias("tops")))
+    of_top, spread = F.col("root") == F.col("top"), F.xxhash64("sig")
+    own = F.when(of_top, F.col("others") + F.pmod(spread, "tops")).otherwise(F.pmod(spread, "others"))
+    last = F.when(of_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    dealt = placed.join(bounded(keys, MOST_KEYS), "key").select("key", "sig", "root", "c", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"))
+    return dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "sig", "root", "c")
+
+
+def _joining(cell: pa.Table) -> pa.Table:
+    """``(u, v)``: roots of a pair of blocks ``(root, c, hashes)`` that links join, as few as connect the same groups."""
+    sets, c = cell.column("hashes").combine_chunks(), cell.column("c").to_numpy()
+    _, group, size = np.unique(cell.column("root").to_numpy(), return_inverse=True, return_counts=True)
+    order = np.lexsort((group, size[group]))
+    sets, c, group, root = sets.take(pa.array(order)), c[order], group[order], cell.column("root").to_numpy()[order]
+    starts, n = np.asarray(sets.offsets[:-1]) - sets.offsets[0].as_py(), np.asarray(sets.value_lengths())
+    distinct, ids = np.unique(np.asarray(sets.flatten()), return_inverse=True)
+    held, found = np.zeros(len(distinct), np.int32), []
+    for a in range(len(n) - 1):
+        after = slice(a + 1, None)
+        if not (maybe := (group[after] != group[a]) & (9 * np.minimum(c[after], c[a]) >= 4 * (n[after] + n[a]))).any():
+            continue
+        own = ids[starts[a] : starts[a] + n[a]]
+        held[own] = 1
+        both = np.add.reduceat(held[ids[starts[a + 1] :]], starts[after] - starts[a + 1])
+        held[own] = 0
+        for b in a + 1 + np.flatnonzero(maybe & (9 * both >= 4 * (n[after] + n[a]))):
+            if group[b] != group[a]:
+                found.append((root[a], root[b]))
+                group[group == group[b]] = group[a]
+    return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate("uv")})
+
+
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, at, root, later)``: one row per row of ``docs``; ``later``: its group has a representative, and it isn't this text."""
+    """``(id, at, root)``: one row per row of ``docs``."""
     rows = recovery_point(_sketches(docs, id_col, text_col))
     member = F.struct("sig", "n", F.col("n").cast("bigint").alias("c")).alias("v")
     keyed = rows.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), member)
@@ -164,30 +202,10 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     same = rows.select("sig", F.col("fp").alias("u")).distinct().join(rows.groupBy("sig").agg(F.min("fp").alias("v")), "sig").select("u", "v")
     nodes = _rooted(nodes, simhash.links(nodes.select("fp").distinct()).unionByName(same).unionByName(_between_roots(_verified(first, sets), nodes)))
 
-    crowded = crowd.join(hubs.where("many > 2").select("key", "many"), "key")
-    most, start, width = crowded.agg(F.max("many")).first()[0] or 0, 0, 4
-    share = F.shiftrightunsigned(F.xxhash64("v.sig"), 11) / F.lit(float(1 << 53)) * F.col("many")
-    chosen = _chosen(crowd, nodes)
-    while start < most:
-        live = crowded.where((F.col("many") > start) & (share >= start)).join(chosen.select("sig"), F.col("v.sig") == F.col("sig"), "left_semi")
-        centers = live.where(share < start + width).select("key", F.col("v").alias("u"))
-        once = (share >= start + width) | (F.col("u.sig") < F.col("v.sig"))
-        met = live.join(centers, "key").where((F.col("u.sig") != F.col("v.sig")) & once & _fits("u", "v")).select(*pair).distinct()
-        new = recovery_point(_between_roots(_verified(met, sets.join(bounded(chosen.select("sig"), MOST_KEYS), "sig", "left_semi")), nodes))
-        if not new.isEmpty():
-            nodes = _rooted(nodes, new)
-            chosen = _chosen(crowd, nodes)
-        start, width = start + width, 16 * width
-    rooted = join_hot(rows.select("id", "at", "fp", "sig"), nodes.select("sig", "root").distinct(), "sig")
-    names = bounded(chosen.select(F.col("root").alias("own"), F.col("sig").alias("named")), MOST_KEYS)
-    named = rooted.join(names, F.col("root") == F.col("own"), "left")
-    return named.select("id", "at", "root", F.coalesce(F.col("sig") != F.col("named"), F.lit(False)).alias("later"))
-
-
-def _chosen(crowd: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(root, sig)``: the representative of each group that has members in crowds."""
-    best = crowd.select("v").distinct().join(nodes.select("sig", "root").distinct(), F.col("v.sig") == F.col("sig"))
-    return recovery_point(best.groupBy("root").agg(F.max_by("v.sig", F.struct(F.col("v.c") / F.col("v.n"), "v.sig")).alias("sig")))
+    met = _cells(crowd, nodes).join(sets, "sig").select("key", "x", "y", "root", "c", "hashes")
+    joined = recovery_point(met.groupBy("key", "x", "y").applyInArrow(_joining, "u bigint, v bigint").distinct())
+    nodes = nodes if joined.isEmpty() else _rooted(nodes, joined)
+    return join_hot(rows.select("id", "at", "sig"), nodes.select("sig", "root").distinct(), "sig").select("id", "at", "root")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -202,6 +220,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each group, as ``one_of_each`` says: that of the smallest id (in crowds, of the representative's); exact repeats and copies with a null id go too."""
-    members = _members(docs, id_col, text_col).select("id", F.col("at").alias("tie"), "root", "later")
+    """One row of ``docs`` for each group, as ``one_of_each`` says: that of the smallest id; exact repeats and copies with a null id go too."""
+    members = _members(docs, id_col, text_col).select("id", F.col("at").alias("tie"), "root")
     return one_of_each(docs, recovery_point(members), id_col, text_col)
