@@ -61,6 +61,17 @@ def test_typed_records_choose_by_their_columns(spark):
     assert [tuple(r) for r in chat.unmapped(odd, "rec").collect()] == [("by, by.who, said", 1)]
 
 
+def test_hashes_choose_the_mapping_of_typed_records(spark, monkeypatch):
+    df = spark.sql("select named_struct('role', 'user', 'text', 'a', 'prompt', 'p', 'answer', interval 1 day) as rec union all select null union all select named_struct('role', null, 'text', null, 'prompt', null, 'answer', null)")
+    turns = lambda: sorted(([tuple(t) for t in r["turns"]] if r["turns"] else None for r in chat.canonical(df, "rec").collect()), key=repr)
+    assert turns() == [None, [("", "")], [("user", "a")]]
+    only = {chat.fingerprint("prompt"), chat.fingerprint("answer")}
+    monkeypatch.setattr(chat, "path_hashes", lambda record, mappings, held=chat.path_hashes: F.filter(held(record, mappings), lambda h: h.isin(only)))
+    assert [("user", "a")] not in turns() and any(t and t[0] == ("user", "p") for t in turns())
+    monkeypatch.setattr(chat, "path_hashes", lambda record, mappings: F.array().cast("array<bigint>"))
+    assert turns() == [None] * 3
+
+
 def test_records_without_a_mapping_are_counted(spark):
     rows = [(1, 0, '{"role":"user","content":"a","name":"x"}'), (1, 1, '{"said":"b"}'), (1, 2, None), (2, 0, "no json"), (3, 0, '{"messages":[]}'), (None, 0, '{"said":"c"}'), (None, 1, '{"prompt":"p","answer":"q"}')]
     df = chat.canonical(spark.createDataFrame(rows, "conv bigint, turn bigint, r string"), "r")

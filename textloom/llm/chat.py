@@ -103,6 +103,19 @@ def _typed_paths(kind: T.DataType, at: str = "") -> set[str]:
     return out
 
 
+def _skeleton(record: Column, kind: T.StructType, paths: set[str]) -> Column:
+    """The fields of a typed record among ``paths``, as a variant without their texts, which may be longer than a variant holds."""
+
+    def part(value: Column, kind: T.DataType, at: str) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.transform(value, lambda x: part(x, kind.elementType, at + "[]"))
+        inner = [(f, f"{at}.{f.name}" if at else f.name) for f in kind.fields] if isinstance(kind, T.StructType) else []
+        kept = [part(value[f.name], f.dataType, path).alias(f.name) for f, path in inner if path in paths]
+        return F.struct(*kept) if kept else value.isNotNull()
+
+    return F.when(record.isNotNull(), F.to_variant_object(part(record, kind, "")))
+
+
 def json_layout(record: Column) -> Column:
     """All nested field names of each JSON text, without the kinds of values; null for what isn't JSON."""
     kinds = F.schema_of_variant(F.try_parse_json(record))
@@ -144,16 +157,17 @@ def canonical(df: DataFrame, record: str, name: str = "turns", mappings: tuple[M
     """
     roles = ROLES if roles is None else roles
     kind, own = df.schema[record].dataType, free_name(df, name)
-    if isinstance(kind, T.StructType):
-        held = _typed_paths(kind)
-        fits = next((m for m in ranked(mappings) if set(m.paths) <= held), None)
-        return df.withColumn(own, F.when(F.col(record).isNotNull(), _turns(fits, F.col(record), True, roles)) if fits else F.lit(None).cast(TURNS))
     parsed, hashes = free_name(df, "parsed"), free_name(df, "path_hashes")
-    out = df.withColumn(parsed, F.try_parse_json(F.col(record))).withColumn(hashes, path_hashes(F.col(parsed), mappings))
+    typed = isinstance(kind, T.StructType)
+    usable = [m for m in mappings if not typed or set(m.paths) <= _typed_paths(kind)]
+    if not usable:
+        return df.withColumn(own, F.lit(None).cast(TURNS))
+    whole = _skeleton(F.col(record), kind, {p for m in usable for p in m.paths}) if typed else F.try_parse_json(F.col(record))
+    out = df.withColumn(parsed, whole).withColumn(hashes, path_hashes(F.col(parsed), tuple(usable)))
     turns = F.lit(None).cast(TURNS)
-    for m in reversed(ranked(mappings)):
+    for m in reversed(ranked(tuple(usable))):
         fits = F.size(F.array_except(F.lit([fingerprint(p) for p in m.paths]).cast("array<bigint>"), hashes)) == 0
-        turns = F.when(fits, _turns(m, F.col(parsed), False, roles)).otherwise(turns)
+        turns = F.when(fits, _turns(m, F.col(record if typed else parsed), typed, roles)).otherwise(turns)
     return out.withColumn(own, turns).drop(parsed, hashes)
 
 
