@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from textloom.llm import near_copies, simhash
+from textloom.llm import components, near_copies, simhash
 
 
 def shingle_set(text):
@@ -116,3 +116,28 @@ def test_crowd_in_chains(make_docs, monkeypatch, dealt):
     assert sorted(r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()) == kept_by_brute_force(rows)
     groups = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(make_docs(rows)).collect()}
     assert sorted(set(groups.values())) == kept_by_brute_force(rows)
+
+
+def test_plans_stay_small(make_docs, monkeypatch):
+    # The driver plans anew after each exchange and keeps every plan: a plan of all links at once took it over its memory on a small table.
+    found, real = [], near_copies.recovery_point
+    monkeypatch.setattr(near_copies, "recovery_point", lambda df: found.append(df) or real(df))
+    monkeypatch.setattr(components, "recovery_point", lambda df: found.append(df) or real(df))
+    rows = planted(random.Random(5), 12, 20)
+    check_kept(rows, [r["doc_id"] for r in near_copies.deduplicate(make_docs(rows)).collect()])
+    exchanges = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") for df in found]
+    assert len(exchanges) > 10 and max(exchanges) <= 12, exchanges
+
+
+@pytest.mark.parametrize("edges", [1, 8, 20_000])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, edges):
+    monkeypatch.setattr(components, "EDGES", edges)
+    some, least = random.Random(9), {}
+    pairs = [tuple(some.choice(range(-40, 40)) for _ in "uv") for _ in range(45)] + [(1 << 62, -(1 << 62)), (7, 7)]
+    for u, v in pairs:
+        least.setdefault(u, u), least.setdefault(v, v)
+        low, high = sorted((least[u], least[v]))
+        least = {x: low if r == high else r for x, r in least.items()}
+    out = components.connected_components(spark.createDataFrame(pairs, "u bigint, v bigint"))
+    assert out.dtypes == [("node", "bigint"), ("root", "bigint")]
+    assert sorted(map(tuple, out.collect())) == sorted((x, r) for x, r in least.items() if x != r)

@@ -200,7 +200,9 @@ def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     nodes = rows.select("sig", "fp", F.col("fp").alias("root")).distinct()
     same = rows.select("sig", F.col("fp").alias("u")).distinct().join(rows.groupBy("sig").agg(F.min("fp").alias("v")), "sig").select("u", "v")
-    nodes = _rooted(nodes, simhash.links(nodes.select("fp").distinct()).unionByName(same).unionByName(_between_roots(_verified(first, sets), nodes)))
+    # Each kind of links has a plan of its own: one plan of all takes much of the driver's memory, whatever the rows.
+    alike, near = recovery_point(_verified(first, sets)), recovery_point(simhash.links(nodes.select("fp").distinct()))
+    nodes = _rooted(nodes, near.unionByName(same).unionByName(_between_roots(alike, nodes)))
 
     met = _cells(crowd, nodes).join(sets, "sig").select("key", "x", "y", "root", "c", "hashes")
     joined = recovery_point(met.groupBy("key", "x", "y").applyInArrow(_joining, "u bigint, v bigint").distinct())
