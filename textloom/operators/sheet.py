@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import dates, law, location, parties, terms, titles
-from textloom.functions.text import key_of, let, squeeze
+from textloom.functions.text import key_of, let, plain_key, squeeze
 from textloom.operators import calibration, windows
 
 # The confidence below which a rule gives way to a model, the recall that backs an absence, the location accuracy that allows a jump, and text lengths.
@@ -52,18 +52,19 @@ def rule_rows(docs: DataFrame, rules: list[tuple[str, str, float]]) -> DataFrame
         human = bucket == "human"
 
         def found(f: Column) -> Column:
-            return let(RULES[key](f), lambda v: F.when(F.coalesce(v, F.lit("")) == "", said(F.lit("review" if human else "absent"), none, none)).otherwise(said(F.lit("review" if human else "found"), v, F.left(squeeze(F.get(f, F.lit(0))), F.lit(RULE_TEXT)))))
+            return let(RULES[key](f), lambda v: F.when(F.coalesce(v, F.lit("")) == "", said(F.lit("review" if human else "absent"), none, none)).otherwise(said(F.lit("review" if human else "found"), v, F.get(f, F.lit(0)))))
 
         return let(location.fragments(key, F.col("text")), found)
 
     rows = docs.select("name", F.explode(F.array(*(row(*r) for r in rules))).alias("r"))
-    return rows.select("name", "r.*", F.lit("clause").alias("confidence_kind"), F.lit(None).cast("int").alias("start"), F.lit("rule").alias("engine"), F.col("r.confidence").alias("clause_accuracy"))
+    # The fragment is cut here, so that it isn't where nobody asks for it.
+    kept, shown = ("category", "bucket", "state", "value"), F.left(squeeze(F.col("r.text")), F.lit(RULE_TEXT)).alias("text")
+    return rows.select("name", *(F.col(f"r.{c}") for c in kept), shown, F.col("r.confidence"), F.lit("clause").alias("confidence_kind"), F.lit(None).cast("int").alias("start"), F.lit("rule").alias("engine"), F.col("r.confidence").alias("clause_accuracy"))
 
 
 def presence_rows(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``docs(name, text)`` by ``model(category, bucket, cues, threshold, recall, balanced, located_pct, bins, fallback)``."""
-    read = docs.withColumn("_w", windows.windows(F.col("text"))).crossJoin(F.broadcast(model))
-    best = read.withColumn("_b", windows.best_window(F.col("_w"), F.col("cues"))).drop("_w")
+    best = windows.by_model(docs, model).withColumnRenamed("_best", "_b")
     state = presence_state(F.col("_b.score"), F.col("threshold"), F.col("recall"))
     own = calibration.row_confidence(F.col("_b.score"), F.col("threshold"), F.col("bins"), F.col("fallback"))
     jump = F.when((F.col("_state") == "found") & (F.coalesce(F.col("located_pct"), F.lit(0.0)) >= LOCATION_TO_JUMP), F.col("_b.start"))
@@ -100,6 +101,15 @@ def display_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("name", rank[F.col("state")], "category")
 
 
+def scoped(docs: DataFrame, rules: list[tuple[str, str, float]], model: DataFrame, scope: DataFrame) -> DataFrame:
+    """``scope_filter`` of the sheet. Categories are matched before, so that texts aren't read for one that is out of scope."""
+    keys = {r[0] for r in scope.where("in_scope").select(key_of(F.col("category"))).distinct().collect()}
+    ours, held = [r for r in rules if plain_key(r[0]) in keys], model.where(key_of(F.col("category")).isin(*keys))
+    if held.isEmpty():
+        return rule_rows(docs, ours).select(*COLUMNS) if ours else sheet(docs, rules, model).limit(0)
+    return sheet(docs, ours, held) if ours else presence_rows(docs, held).select(*COLUMNS)
+
+
 def scope_filter(rows: DataFrame, scope: DataFrame) -> DataFrame:
     """Rows whose category is in scope, matched by key."""
     keys = scope.where("in_scope").select(key_of(F.col("category")).alias("_key")).distinct()

@@ -737,7 +737,7 @@ def sheet_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select name, category, state from ({_SHEET_SQL}) where category in ('Document Name', 'Governing Law')")
 def scoped_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sheet's rows of the categories that the scope decision admits."""
-    return sheet.scope_filter(clause_sheet(spark, sf_dir), scope_decision(spark, sf_dir)).select("name", "category", "state")
+    return sheet.scoped(contracts(spark, sf_dir).select("name", "text"), SHEET_RULES, model(spark), scope_decision(spark, sf_dir)).select("name", "category", "state")
 
 
 @query(
